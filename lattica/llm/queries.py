@@ -11,6 +11,7 @@ from lattica.llm import quality
 from lattica.llm.jaccard import jaccard_join
 from lattica.llm.recompress import remove_repeats
 from lattica.llm.tables import table
+from lattica.llm.urlrules import judged_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +40,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_quality_rules"] = quality.SQL
+
+
+@_query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judged_urls(pages, table(spark, sf_dir, "labels")).drop("url")
