@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.components import components
 from lattica.llm.tables import settled, slices_for
-from lattica.llm.words import chunks, mix, pack40, unpack40, windows, words
+from lattica.llm.words import chunks, mix, pack, unpack, windows, words
 
 SHINGLE = 5
 #: Two sets link when DEN * intersection >= NUM * union.
@@ -105,7 +105,7 @@ def _emit(docs: list, slices: int) -> pa.RecordBatch:
     part, row, h = part[order], row[order], h[order]
     edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else []
     for a, b in zip(edge[:-1], edge[1:], strict=False):
-        rows.append((int(part[a]), block, 1, row[a:b].astype("<u2").tobytes() + pack40(h[a:b])))
+        rows.append((int(part[a]), block, 1, row[a:b].astype("<u2").tobytes() + pack(h[a:b], 5)))
     return _frame(rows)
 
 
@@ -140,7 +140,7 @@ def _shared_tokens(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
     if not len(data):
         return out
     rows = [np.frombuffer(p[: len(p) // 7 * 2], "<u2") for p in data["payload"]]
-    tokens = [unpack40(p[len(p) // 7 * 2 :]) for p in data["payload"]]
+    tokens = [unpack(p[len(p) // 7 * 2 :], 5) for p in data["payload"]]
     every = np.sort(np.concatenate(tokens))
     edge = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1], [True])))
     count = np.diff(edge)
@@ -152,7 +152,7 @@ def _shared_tokens(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         hit = known[at] == t if len(known) else np.zeros(len(t), bool)
         if hit.any():
             k = int(hit.sum())
-            replies.append((block, 1, np.array([k, key[0]], "<i8").tobytes() + r[hit].tobytes() + cls[at[hit]].tobytes() + pack40(t[hit])))
+            replies.append((block, 1, np.array([k, key[0]], "<i8").tobytes() + r[hit].tobytes() + cls[at[hit]].tobytes() + pack(t[hit], 5)))
     return pd.concat([out, pd.DataFrame(replies, columns=["block", "kind", "payload"])])
 
 
@@ -168,7 +168,7 @@ def _documents(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         k, slice_ = (int(x) for x in np.frombuffer(p[:16], "<i8"))
         rows.append(np.frombuffer(p[16 : 16 + 2 * k], "<u2").astype(np.int64))
         cls.append(np.frombuffer(p[16 + 2 * k : 16 + 3 * k], np.uint8))
-        tokens.append(unpack40(p[16 + 3 * k :]) | (np.uint64(slice_ % (1 << 24)) << np.uint64(40)))
+        tokens.append(unpack(p[16 + 3 * k :], 5) | (np.uint64(slice_ % (1 << 24)) << np.uint64(40)))
     out = {c: [None] * len(n) for c in ("tokens", "first", "second", "third")}
     if rows:
         row, rare, token = np.concatenate(rows), np.concatenate(cls), np.concatenate(tokens)

@@ -7,7 +7,7 @@ get equal symbols everywhere in the corpus, but for one symbol at either end in
 
 Each window of 35 words takes as its anchor the first symbol of the highest round that lies in it with all that decides
 it. Equal windows have equal anchors. One exchange by anchor name reveals which anchors occur twice; windows on those are
-verified by a hash of all their words. Windows on the other anchors are not looked at again.
+verified by 48 bits of a hash of all their words, besides the anchor's name. Windows on the other anchors are not looked at again.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.tables import settled, slices_for
-from lattica.llm.words import _power, chunks, mix, pack40, unpack40, windows, words
+from lattica.llm.words import _power, chunks, mix, pack, unpack, windows, words
 
 WINDOW, ROUNDS = 35, 8
 #: Text bytes of one block of the exchange, and text bytes behind one slice of the anchor space.
@@ -93,8 +93,8 @@ def _emit(part: pa.RecordBatch, slices: int) -> pa.RecordBatch:
         edge = np.flatnonzero(np.concatenate(([True], slice_[1:] != slice_[:-1], [True])))
         run_edge = np.searchsorted(begin, edge)
         for a, b, x, y in zip(edge[:-1], edge[1:], run_edge[:-1], run_edge[1:], strict=True):
-            runs = np.array([y - x], "<i8").tobytes() + pack40(name[begin[x:y]]) + at[begin[x:y]].astype("<u4").tobytes() + length[x:y].astype("<u2").tobytes()
-            rows.append((int(slice_[a]), block, 2, runs + h[a:b].astype("<u8").tobytes()))
+            runs = np.array([y - x], "<i8").tobytes() + pack(name[begin[x:y]], 5) + at[begin[x:y]].astype("<u4").tobytes() + length[x:y].astype("<u2").tobytes()
+            rows.append((int(slice_[a]), block, 2, runs + pack(h[a:b], 6)))
     slice_, block, kind, payload = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(slice_, pa.int64()), pa.array(block, pa.binary()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())], ["slice", "block", "kind", "payload"])
 
@@ -116,7 +116,7 @@ def _repeated(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
     for p in data["payload"]:
         k = int(np.frombuffer(p[:8], "<i8")[0])
         length = np.frombuffer(p[8 + 9 * k : 8 + 11 * k], "<u2").astype(np.int64)
-        parsed.append((unpack40(p[8 : 8 + 5 * k]), np.frombuffer(p[8 + 5 * k : 8 + 9 * k], "<u4").astype(np.int64), length, np.frombuffer(p, "<u8", offset=8 + 11 * k)))
+        parsed.append((unpack(p[8 : 8 + 5 * k], 5), np.frombuffer(p[8 + 5 * k : 8 + 9 * k], "<u4").astype(np.int64), length, unpack(p[8 + 11 * k :], 6)))
     if not parsed:
         return out
     names, counts = np.unique(np.concatenate([x[0] for x in parsed]), return_counts=True)

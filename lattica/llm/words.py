@@ -149,12 +149,12 @@ def windows(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return mix((c[size:] - c[:-size]) * _power(len(hashes), True)[:n], seed)
 
 
-def pack40(x: np.ndarray) -> bytes:
-    """The low 40 bits of each, five bytes apiece."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def pack(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def unpack40(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+def unpack(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
     return out.reshape(-1).view("<u8")
