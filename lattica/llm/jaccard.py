@@ -6,8 +6,8 @@ hash next, so common passages come last in every order. With t = 3/4, two sets c
 share a token among the first n - ceil(t n) + 1 of either, under *every* order. Candidates come from the first order's
 prefixes; those of the other orders must meet as well before a pair is verified on whole sets.
 
-Families of near copies would make quadratically many pairs. So each prefix token first links its documents to two
-centres; once components are known, only pairs that cross components are looked at further. Pairs inside a component can
+Families of near copies would make quadratically many pairs. So each document is first held against two of the centres
+of its prefix tokens, in a few rounds; then only pairs that cross the components found so far are looked at. Pairs inside a component can
 change neither the components nor, after verification of the rest, any other result.
 """
 
@@ -35,6 +35,8 @@ CHUNK, BLOCK = 2 << 20, 12 << 20
 SLICE = 6 << 20
 #: Steps of the rarity class per doubling of a token's document count, for each order; the first is the one joined on.
 ORDERS = (4, 2, 1)
+#: Rounds in which each document is held against two centres before the remaining pairs across components are.
+STARS = 2
 _LOW40 = np.uint64((1 << 40) - 1)
 
 
@@ -156,7 +158,7 @@ def _shared_tokens(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([out, pd.DataFrame(replies, columns=["block", "kind", "payload"])])
 
 
-_DOCS = "doc_id long, n long, d1 long, d2 long, tokens array<long>, first array<long>, second array<int>, third array<int>"
+_DOCS = "doc_id long, n long, d1 long, d2 long, weight int, tokens array<long>, first array<long>, second array<int>, third array<int>"
 
 
 def _documents(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -170,6 +172,7 @@ def _documents(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         cls.append(np.frombuffer(p[16 + 2 * k : 16 + 3 * k], np.uint8))
         tokens.append(unpack(p[16 + 3 * k :], 5) | (np.uint64(slice_ % (1 << 24)) << np.uint64(40)))
     out = {c: [None] * len(n) for c in ("tokens", "first", "second", "third")}
+    weight = np.zeros(len(n), np.int64)
     if rows:
         row, rare, token = np.concatenate(rows), np.concatenate(cls), np.concatenate(tokens)
         have = np.bincount(row, minlength=len(n))
@@ -179,6 +182,7 @@ def _documents(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         row, rare, token = row[keep], rare[keep], token[keep]
         size = np.bincount(row, minlength=len(n))
         end = np.cumsum(size)
+        weight = np.bincount(row, weights=rare, minlength=len(n)).astype(np.int64) * 100 // np.maximum(n, 1)
         for k, name in enumerate(("first", "second", "third")):
             mixed = mix(token, 11 + k)
             order = np.lexsort((mixed, rare // (ORDERS[0] // ORDERS[k]), row))
@@ -188,7 +192,7 @@ def _documents(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
                 if k == 0:
                     out["tokens"][i] = value[end[i] - size[i] : end[i]]
     frame = pd.DataFrame({c: head.column(c).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get) for c in ("doc_id", "n", "d1", "d2")})
-    return frame.assign(**out)
+    return frame.assign(weight=weight, **out)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -200,6 +204,21 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(DEN * shared >= NUM * (F.col("a_n") + F.col("b_n") - shared)).select("a", "b")
 
 
+def _star_pairs(entries: DataFrame, k: int) -> DataFrame:
+    """At most two pairs (a, b) for each document a. Each token's centres are its document with the commonest tokens in
+    round 0, which is the hub of a family of near copies, else its least in the k-th order of classes; and its greatest
+    in that order. b is the centre of either kind, in another component, with which a shares most prefix tokens."""
+    turned = F.concat(F.substring("cls", 1 + 8 * k, 32), F.substring("cls", 1, 8 * k), F.col("of"))
+    heavy = F.concat(F.lpad(F.col("weight").cast("string"), 8, "0"), turned)
+    one = F.substring(F.max(heavy), 9, 64) if k == 0 else F.min(turned)
+    tokens = entries.groupBy("token").agg(one.alias("one"), F.max(turned).alias("two"))
+    met = entries.join(tokens, "token")
+    side = lambda c: met.where(F.substring(c, 33, 32) != F.col("of")).select("cls", F.substring(c, 1, 32).alias("c")).groupBy("cls", "c").count()
+    best = [side(c).groupBy("cls").agg(F.max(F.struct("count", "c"))["c"].alias("c")) for c in ("one", "two")]
+    back = F.concat(F.substring("c", 33 - 8 * k, 32), F.substring("c", 1, 32 - 8 * k))
+    return best[0].unionByName(best[1]).select(F.col("cls").alias("a"), back.alias("b")).distinct()
+
+
 def _near(a: str, b: str):
     return (DEN * F.least(a, b) >= NUM * F.greatest(a, b))
 
@@ -219,19 +238,25 @@ def jaccard_join(docs: DataFrame, slices: int | None = None) -> DataFrame:
     found = blocks.groupBy("block").applyInPandas(_documents, _DOCS).withColumn("cls", F.concat(F.hex("d1"), F.hex("d2"))).drop("d1", "d2")
     found = settled(found, "sets")
     classes = found.groupBy("cls").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"))
-    sets = found.where("tokens is not null").groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "first", "second", "third")))
+    sets = found.where("tokens is not null").groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "weight", "tokens", "first", "second", "third")))
     sets = settled(sets, "classes")
     unique = F.col("n") - F.size("tokens")
-    entries = sets.select("cls", "n", unique.alias("u"), F.posexplode("first").alias("pos", "token"))
-    entries = entries.select("token", "cls", "n", (F.col("n") - F.col("u") - F.col("pos")).alias("rest"))
-    tokens = entries.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low != high")
-    entries = settled(entries.join(tokens, "token"), "prefixes")
-    star = entries.select(F.col("cls").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a != b").distinct()
-    links = settled(_verified(star, sets), "links")
-    labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    known = entries.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", "rest", F.coalesce("component", "cls").alias("of"))
-    mixed = known.groupBy("token").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x != y").select("token")
-    known = known.join(mixed, "token", "left_semi")
+    entries = sets.select("cls", "n", "weight", unique.alias("u"), F.posexplode("first").alias("pos", "token"))
+    entries = entries.select("token", "cls", "n", "weight", (F.col("n") - F.col("u") - F.col("pos")).alias("rest"))
+    entries = entries.join(entries.groupBy("token").count().where("count > 1").select("token"), "token", "left_semi")
+    known = settled(entries.withColumn("of", F.col("cls")), "prefixes")
+    links = None
+    for k in range(STARS):
+        star = _star_pairs(known, k)
+        more = settled(_verified(star, sets), "links")
+        links = more if links is None else links.unionByName(more)
+        labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        known = known.drop("of").join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left")
+        known = known.select("token", "cls", "n", "weight", "rest", F.coalesce("component", "cls").alias("of"))
+        mixed = known.groupBy("token").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x != y").select("token")
+        known = settled(known.join(mixed, "token", "left_semi"), "prefixes")
+        if known.isEmpty():
+            break
     left, right = (known.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("cls", "n", "rest", "of"))) for s in ("a", "b"))
     enough = 7 * F.least("a_rest", "b_rest") >= 3 * (F.col("a_n") + F.col("b_n"))
     pairs = left.join(right, "token").where((F.col("a_of") < F.col("b_of")) & _near("a_n", "b_n") & enough)
