@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import quality
+from lattica.llm import bpe, quality
 from lattica.llm.jaccard import jaccard_join
 from lattica.llm.recompress import remove_repeats
 from lattica.llm.tables import table
@@ -46,3 +47,8 @@ ORACLES["op10_quality_rules"] = quality.SQL
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judged_urls(pages, table(spark, sf_dir, "labels")).drop("url")
+
+
+@_query
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
