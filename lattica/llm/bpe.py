@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,7 +129,7 @@ class Codec:
         self.table.room()
         w = words(column)
         raw, n, rows = w.raw, len(w.hashes), len(w.first) - 1
-        size = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         off = np.concatenate(([0], np.cumsum(size)))
         row = w.rows
         entry = np.zeros(2 * n + rows, np.int64)

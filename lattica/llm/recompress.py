@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -176,7 +177,7 @@ def _kept(mode: str):
                             keep[a:b] = False
                 row, raw = w.rows, w.raw
                 off = np.zeros(part.num_rows + 1, np.int64)
-                size = pa.compute.fill_null(pa.compute.binary_length(part.column("text")), 0).to_numpy(zero_copy_only=False)
+                size = pc.fill_null(pc.binary_length(part.column("text")), 0).to_numpy(zero_copy_only=False)
                 np.cumsum(size, out=off[1:])
                 byte = np.zeros(len(raw) + 1, np.int8)
                 if mode == "space":
@@ -201,7 +202,7 @@ def _kept(mode: str):
                 total = np.concatenate(([0], np.cumsum(mask)))[off]
                 text = pa.Array.from_buffers(pa.large_string(), part.num_rows, [None, pa.py_buffer(total.astype("<i8").tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.string())
                 if part.column("text").null_count:
-                    text = pa.compute.if_else(part.column("text").is_null(), pa.scalar(None, pa.string()), text)
+                    text = pc.if_else(part.column("text").is_null(), pa.scalar(None, pa.string()), text)
                 removed = np.bincount(row[~keep], minlength=part.num_rows).astype(np.int64)
                 rest = [part.column(c) for c in part.schema.names if c not in ("text", "spans", "key")]
                 names = [c for c in part.schema.names if c not in ("text", "spans", "key")]

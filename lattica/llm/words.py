@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SEGMENT = 1 << 20
 _RNG = np.random.default_rng(20240229)
@@ -60,7 +61,7 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int, rows: int = 60_000) ->
     if not n:
         return
     size = np.zeros(n + 1, np.int64)
-    np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), out=size[1:])
+    np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), out=size[1:])
     at = 0
     while at < n:
         end = int(np.searchsorted(size, size[at] + limit, side="right")) - 1
