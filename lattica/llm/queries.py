@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import bpe, quality
 from lattica.llm.jaccard import jaccard_join
+from lattica.llm.packing import packed
 from lattica.llm.recompress import remove_repeats
 from lattica.llm.tables import table
 from lattica.llm.urlrules import judged_urls
@@ -52,3 +53,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
