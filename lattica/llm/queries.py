@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import bpe, quality
 from lattica.llm.jaccard import jaccard_join
+from lattica.llm.langid import identified
 from lattica.llm.packing import packed
 from lattica.llm.recompress import remove_repeats
 from lattica.llm.tables import table
@@ -58,3 +59,8 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
