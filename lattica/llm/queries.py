@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lattica.llm import bpe, quality
 from lattica.llm.jaccard import jaccard_join
 from lattica.llm.langid import identified
+from lattica.llm.media import stored, with_features, with_metadata
 from lattica.llm.packing import packed
 from lattica.llm.recompress import remove_repeats
 from lattica.llm.tables import table
@@ -64,3 +65,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_query
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = with_metadata(stored(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth"]
+    return with_features(index).select(*columns)
