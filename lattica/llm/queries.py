@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import bpe, quality
+from lattica.llm.extract import extracted
 from lattica.llm.jaccard import jaccard_join
 from lattica.llm.langid import identified
 from lattica.llm.media import stored, with_features, with_metadata
@@ -72,3 +73,8 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = with_metadata(stored(table(spark, sf_dir, "documents").select("doc_id", "text")))
     columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth"]
     return with_features(index).select(*columns)
+
+
+@_query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
