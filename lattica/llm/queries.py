@@ -17,6 +17,7 @@ from lattica.llm.packing import packed
 from lattica.llm.recompress import remove_repeats
 from lattica.llm.tables import table
 from lattica.llm.urlrules import judged_urls
+from lattica.llm.weaklabel import classified
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +79,8 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "posterior", "score", "kept")
