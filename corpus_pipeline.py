@@ -15,7 +15,7 @@ from lattica.llm.langid import identified
 from lattica.llm.packing import packed
 from lattica.llm.quality import judged
 from lattica.llm.recompress import remove_repeats
-from lattica.llm.tables import settled, table
+from lattica.llm.tables import discard, settled, table
 
 #: A language's least score.
 LEAST_SCORE = 0.5
@@ -60,5 +60,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = settled(stage(spark, docs, sf_dir), name)
+        before, docs = docs, settled(stage(spark, docs, sf_dir), name)
+        if hasattr(before, "_settled_path"):
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

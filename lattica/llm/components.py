@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.tables import settled
+from lattica.llm.tables import discard, settled
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,9 +29,12 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges, seen = settled(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links"), None
     for _ in range(most_rounds):
-        edges = settled(_small_star(_large_star(edges)), "stars")
+        before, edges = edges, settled(_small_star(_large_star(edges)), "stars")
+        discard(before)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out._settled_path = edges._settled_path  # the caller may discard it
+            return out
         seen = now
     raise RuntimeError("components did not settle")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.components import components
-from lattica.llm.tables import settled, slices_for
+from lattica.llm.tables import discard, settled, slices_for
 from lattica.llm.words import chunks, mix, pack, unpack, windows, words
 
 SHINGLE = 5
@@ -237,9 +237,9 @@ def jaccard_join(docs: DataFrame, slices: int | None = None) -> DataFrame:
     blocks = blocks.groupBy("slice").applyInPandas(_shared_tokens, "block binary, kind int, payload binary")
     found = blocks.groupBy("block").applyInPandas(_documents, _DOCS).withColumn("cls", F.concat(F.hex("d1"), F.hex("d2"))).drop("d1", "d2")
     found = settled(found, "sets")
-    classes = found.groupBy("cls").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"))
     sets = found.where("tokens is not null").groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "weight", "tokens", "first", "second", "third")))
-    sets = settled(sets, "classes")
+    sets, heads = settled(sets, "classes"), settled(found.select("doc_id", "n", "cls"), "heads")
+    discard(found)
     unique = F.col("n") - F.size("tokens")
     entries = sets.select("cls", "n", "weight", unique.alias("u"), F.posexplode("first").alias("pos", "token"))
     entries = entries.select("token", "cls", "n", "weight", (F.col("n") - F.col("u") - F.col("pos")).alias("rest"))
@@ -251,10 +251,12 @@ def jaccard_join(docs: DataFrame, slices: int | None = None) -> DataFrame:
         more = settled(_verified(star, sets), "links")
         links = more if links is None else links.unionByName(more)
         labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        before = known
         known = known.drop("of").join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left")
         known = known.select("token", "cls", "n", "weight", "rest", F.coalesce("component", "cls").alias("of"))
         mixed = known.groupBy("token").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x != y").select("token")
         known = settled(known.join(mixed, "token", "left_semi"), "prefixes")
+        discard(before, labels)
         if known.isEmpty():
             break
     left, right = (known.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("cls", "n", "rest", "of"))) for s in ("a", "b"))
@@ -262,9 +264,11 @@ def jaccard_join(docs: DataFrame, slices: int | None = None) -> DataFrame:
     pairs = left.join(right, "token").where((F.col("a_of") < F.col("b_of")) & _near("a_n", "b_n") & enough)
     pairs = pairs.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()
     links = links.unionByName(_verified(pairs, sets))
+    classes = heads.groupBy("cls").agg(F.min("doc_id").alias("node"))
     node = lambda s: classes.select(F.col("cls").alias(s), F.col("node").alias(f"{s}_node"))
     named = links.join(node("a"), "a").join(node("b"), "b").where("a_node is not null and b_node is not null")
     roots = components(named.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")))
+    discard(sets, known)
     of_class = classes.join(roots.withColumnRenamed("node", "root"), F.col("node") == F.col("root"), "left")
     of_class = of_class.select("cls", F.coalesce("component", "node").alias("found_id"))
-    return found.join(of_class, "cls").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("found_id")).alias("component_id"))
+    return heads.join(of_class, "cls").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("found_id")).alias("component_id"))

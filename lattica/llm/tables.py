@@ -29,10 +29,18 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._settled_path = path
     spark.sparkContext._jvm.System.gc()
     return out
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes what settled() wrote for these frames: only once all that is read from them has been settled in turn."""
+    for df in frames:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._settled_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices_for(docs: DataFrame, column: str, bytes_each: int) -> int:
     """How many slices a keyed exchange needs so that each holds about bytes_each of the column's text.
 
