@@ -98,4 +98,4 @@ def has_negative_cycle(graph: Graph) -> bool:
         if step.where(F.col("now") < F.col("dist") - TOLERANCE).isEmpty():
             return False
         best = step.select("node", F.col("now").alias("dist"))
-    return True
+    return not best.isEmpty()
