@@ -17,6 +17,8 @@ from lattica.sources.shared import cut
 
 #: Kinds with fewer nodes are one community; share of nodes that must carry a community for it to be used.
 LEAST_FOR_LOUVAIN, COVERAGE = 12, 0.6
+#: Undirected edges of a kind up to which its communities are found in one task, in order of id; beyond, by joins.
+MOST_PAIRS = 1_000_000
 
 
 def coreness(graph: Graph) -> DataFrame:
@@ -119,11 +121,43 @@ def partition(graph: Graph) -> DataFrame:
 
 
 def _by_louvain(pairs: DataFrame) -> DataFrame:
+    """(kind, id, community) of pairs(kind, a, b): Louvain in one task for each kind of at most MOST_PAIRS, and
+    distributed moves for larger ones."""
+    pairs = cut(pairs.select("kind", "a", "b"), "kinds")
+    sizes = pairs.groupBy("kind").count()
+    large = sizes.where(F.col("count") > MOST_PAIRS).select("kind")
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         found = louvain(sorted(zip(frame["a"], frame["b"], strict=True)))
         return pd.DataFrame({"kind": frame["kind"].iloc[0], "id": list(found), "community": list(found.values())})
 
-    return pairs.groupBy("kind").applyInPandas(run, "kind string, id string, community long")
+    small = pairs.join(large, "kind", "left_anti").groupBy("kind").applyInPandas(run, "kind string, id string, community long")
+    if large.isEmpty():
+        return small
+    return small.unionByName(moved_communities(pairs.join(large, "kind", "left_semi")))
+
+
+def moved_communities(pairs: DataFrame, rounds: int = 12) -> DataFrame:
+    """(kind, id, community) of pairs(kind, a, b) by synchronous local moves: in each round, half of the nodes, by hash,
+    go to the neighbouring community that raises modularity most. Communities are numbered by a hash of their seed node.
+    Links to a community are pre-aggregated, so hubs are never gathered."""
+    both = cut(pairs.select("kind", "a", "b").union(pairs.select("kind", F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+    degree = cut(both.groupBy("kind", "a").count().withColumnRenamed("count", "d"), "degree")
+    total = both.groupBy("kind").count().withColumnRenamed("count", "m2")
+    label = cut(degree.select("kind", "a", "d", F.xxhash64("kind", "a").alias("c")), "label")
+    for r in range(rounds):
+        volume = label.groupBy("kind", "c").agg(F.sum("d").alias("volume"))
+        links = both.join(label.select("kind", F.col("a").alias("b"), "c"), ["kind", "b"]).groupBy("kind", "a", "c").count()
+        links = links.unionByName(label.select("kind", "a", "c", F.lit(0).cast("long").alias("count"))).groupBy("kind", "a", "c").agg(F.sum("count").alias("w"))
+        own = label.select("kind", "a", "d", F.col("c").alias("own"))
+        scored = links.join(volume, ["kind", "c"]).join(own, ["kind", "a"]).join(F.broadcast(total), "kind")  # a row for each large kind
+        score = F.col("w") - (F.col("volume") - F.when(F.col("c") == F.col("own"), F.col("d")).otherwise(0)) * F.col("d") / F.col("m2")
+        best = scored.groupBy("kind", "a", "d", "own").agg(F.max(F.struct(score.alias("s"), (F.col("c") == F.col("own")).alias("stay"), F.col("c").alias("c")))["c"].alias("best"))
+        turn = F.pmod(F.xxhash64("a", F.lit(r)), F.lit(2)) == 0
+        before, label = label, cut(best.select("kind", "a", "d", F.when(turn, F.col("best")).otherwise(F.col("own")).alias("c")), "label")
+        if r % 2 and label.join(before.withColumnRenamed("c", "old"), ["kind", "a"]).where("c != old").isEmpty():
+            break
+    return label.select("kind", F.col("a").alias("id"), F.col("c").alias("community"))
 
 
 def partition_stats(found: DataFrame) -> DataFrame:

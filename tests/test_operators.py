@@ -94,6 +94,16 @@ def test_louvain(spark):
     assert communities.partition(graph(spark, ["solo"], [])).count() == 0
 
 
+def test_distributed_communities(spark, monkeypatch):
+    cliques = [(f"{k}{i}", f"{k}{j}") for k in "ab" for i in range(5) for j in range(i)] + [("a0", "b0")]
+    pairs = spark.createDataFrame([("k", min(p), max(p)) for p in cliques], "kind string, a string, b string")
+    found = {r["id"]: r["community"] for r in communities.moved_communities(pairs).collect()}
+    assert len({found[f"a{i}"] for i in range(5)}) == len({found[f"b{i}"] for i in range(5)}) == 1 and found["a1"] != found["b1"]
+    monkeypatch.setattr(communities, "MOST_PAIRS", 5)
+    nodes = spark.createDataFrame([(x, i) for i, x in enumerate(sorted(found))], "id string, ord long")
+    assert communities.partition(Graph(nodes, pairs.select(F.col("a").alias("source"), F.col("b").alias("target")))).count() == 10
+
+
 def test_kind_communities(spark):
     nodes = spark.createDataFrame([(f"x{i}", "Big", i) for i in range(12)] + [(f"y{i}", "Small", i) for i in range(11)], "id string, kind string, ord long")
     edges = spark.createDataFrame([("x0", "x1"), ("x1", "x2"), ("x0", "x2"), ("y0", "y1")], "source string, target string")
