@@ -37,6 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     without a doc_id all stay."""
     others = settled(jaccard_join(docs).where("component_id != doc_id").select("doc_id").distinct(), "duplicates")
     kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept  # nothing to drop, and so no need to deal out the texts by id
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
 

@@ -25,7 +25,7 @@ BUCKETS, SMOOTHING = 1 << 15, 0.1
 FIT_ROWS = 20_000
 #: Bytes that the broadcast matrix may have.
 MOST_MATRIX = 256 << 20
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 @lru_cache(maxsize=1)

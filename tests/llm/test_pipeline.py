@@ -41,3 +41,10 @@ def test_stages_keep_columns(spark):
         out = stage(spark, docs, "")
         assert out.dtypes == docs.dtypes
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_rows_of_one_id_leave_one(spark):
+    text = plain.corpus(13)[0][1]
+    rows = [(1, text, "en", "s", 1), (1, "another text of its own", "en", "s", 1), (2, text, "en", "s", 1), (None, text, "en", "s", 1), (None, None, "en", "s", 1)]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, plain.SCHEMA), "").collect()
+    assert sorted(str(r["doc_id"]) for r in out).count("1") == 1 and {r["doc_id"] for r in out} == {1, None}
