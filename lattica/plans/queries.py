@@ -179,9 +179,10 @@ def pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _faulty(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Customers and their orders as a payload with planted breaches."""
+    """All customers and their orders as a payload with planted breaches; every 90th customer has its neighbour's id, and so its
+    own orders dangle."""
     c = F.col("c_custkey")
-    customer = table(spark, sf_dir, "customer").where(c <= 1400)
+    customer = table(spark, sf_dir, "customer")
     kind = F.when(c % 50 == 0, "member").otherwise("institution")
     measures = F.create_map(F.when(c % 40 == 0, "balance").otherwise("score"), F.col("c_acctbal"))
     label = F.when(c % 60 == 0, "x@y.org").when(c % 70 == 0, "did:key:z").otherwise(F.col("c_name"))
