@@ -439,8 +439,11 @@ def selection_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("label_placement")
 def label_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _points(spark, sf_dir).withColumn("rank", (F.col("id") % 200).cast("int")).where("id < 200")
-    found = labels.candidates(points.select(F.col("id").cast("string").alias("id"), F.concat(F.lit("label "), F.col("id").cast("string")).alias("label"), "rank", "x", "y", F.lit(12.5).alias("anchor_radius")), 0.5, (0.0, 0.0), (800.0, 600.0))
+    points = _points(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
+    far = F.create_map(F.lit("magnitude"), F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")))  # the vectors themselves all have length 1
+    nodes = points.select("id", F.concat(F.lit("label "), "id").alias("label"), F.lit(None).cast("string").alias("label_quality"), far.alias("measures"), "x", "y")
+    layer = labels.label_layer(nodes, points.select("id", "x", "y"), 200)
+    found = labels.candidates(layer, 0.5, (0.0, 0.0), (800.0, 600.0))
     return labels.placed_labels(found)
 
 

@@ -1,8 +1,11 @@
 """Queries run over their whole tables, not over a prefix of ids."""
 
+import math
+
 import pandas as pd
 import pytest
 
+from lattica.operators import labels
 from lattica.plans import catalog
 
 
@@ -31,3 +34,20 @@ def test_payload_violations_of_all_customers(spark, shop):
     assert of("contract:position") == {c for c in customers if c % 30 == 0}
     assert of("identity:duplicate-node") == {c for c in customers if c % 90 == 0 and c % 50}
     assert of("contract:dangling") == {o + 1 for o in range(3600) if (o % 1800 + 1) % 90 == 0}
+
+
+def test_label_placement_of_all_points(spark, tmp_path):
+    """The budget goes to the farthest points, wherever their ids are; greedy placement as brute force does it."""
+    vectors = [[((i * 37) % 601 - 300) / 1000, ((i * 91) % 401 - 200) / 1000] for i in range(500)]
+    data = written(tmp_path, embeddings=pd.DataFrame({"vec_id": range(500), "embedding": vectors}))
+    at = {str(i): [math.floor(v * 100000) / 100 for v in x] for i, x in enumerate(vectors)}
+    top = sorted(at, key=lambda i: (-math.sqrt(at[i][0] ** 2 + at[i][1] ** 2), i))[:200]
+    assert sum(int(i) >= 200 for i in top) > 50
+    layer = spark.createDataFrame([(i, f"label {i}", k, *at[i], 12.5) for k, i in enumerate(top)], "id string, label string, rank int, x double, y double, anchor_radius double")
+    kept = []
+    for r in labels.candidates(layer, 0.5, (0.0, 0.0), (800.0, 600.0)).orderBy("rank").collect():
+        if not any(r.rect["left"] < k["right"] and k["left"] < r.rect["right"] and r.rect["top"] < k["bottom"] and k["top"] < r.rect["bottom"] for _, k in kept):
+            kept.append((r["id"], r.rect))
+    rows = catalog.QUERIES["label_placement"](spark, data).collect()
+    assert {r["id"] for r in rows} == {i for i, _ in kept} and any(int(r["id"]) >= 200 for r in rows)
+    assert {r["id"]: r["rank"] for r in rows} == {i: top.index(i) for i, _ in kept}
