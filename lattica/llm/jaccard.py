@@ -14,11 +14,14 @@ change neither the components nor, after verification of the rest, any other res
 from __future__ import annotations
 
 import hashlib
+import itertools
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,8 +91,9 @@ def _frame(rows: list[tuple]) -> pa.RecordBatch:
 _EXCHANGED = "slice long, block binary, kind int, payload binary"
 
 
-def _emit(docs: list, slices: int) -> pa.RecordBatch:
-    """One block: a header row, and a row of packed tokens for each slice that has any of them."""
+def _emit(docs: list, slices: int, place: bytes) -> pa.RecordBatch:
+    """One block: a header row, and a row of packed tokens for each slice that has any of them. Its id is of its header
+    and of its place, task and number, so that blocks of equal rows stay apart."""
     ids = pa.concat_arrays([d[0] for d in docs])
     size, digest = np.concatenate([d[3] for d in docs]), np.concatenate([d[4] for d in docs])
     base = np.concatenate(([0], np.cumsum([len(d[0]) for d in docs])))
@@ -100,7 +104,7 @@ def _emit(docs: list, slices: int) -> pa.RecordBatch:
     with pa.ipc.new_stream(sink, header.schema) as out:
         out.write_batch(header)
     raw = sink.getvalue().to_pybytes()
-    block = hashlib.blake2b(raw, digest_size=16).digest()
+    block = hashlib.blake2b(place + raw, digest_size=16).digest()
     rows = [(int.from_bytes(block[:4], "little") % slices, block, 0, raw)]
     part = ((h >> np.uint64(40)) % np.uint64(slices)).astype(np.int64)
     order = np.argsort(part, kind="stable")
@@ -113,7 +117,8 @@ def _emit(docs: list, slices: int) -> pa.RecordBatch:
 
 def _token_blocks(slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_bytes, held_rows, seen = [], 0, 0, set()
+        held, held_bytes, held_rows, seen, task = [], 0, 0, set(), TaskContext.get().partitionId()
+        places = (struct.pack("<qq", task, k) for k in itertools.count())
         for batch in batches:
             for part in chunks(batch, "text", CHUNK):
                 row, h, size, digest = shingle_sets(part.column("text"))
@@ -125,12 +130,12 @@ def _token_blocks(slices: int):
                     seen.clear()
                 keep = new[row]
                 if held and (held_bytes + part.nbytes > BLOCK or held_rows + part.num_rows > 65_535):
-                    yield _emit(held, slices)
+                    yield _emit(held, slices, next(places))
                     held, held_bytes, held_rows = [], 0, 0
                 held.append((part.column("doc_id"), row[keep], h[keep], size, digest))
                 held_bytes, held_rows = held_bytes + part.nbytes, held_rows + part.num_rows
         if held:
-            yield _emit(held, slices)
+            yield _emit(held, slices, next(places))
 
     return run
 
