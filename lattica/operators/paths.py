@@ -87,15 +87,45 @@ def negative_cycles(graph: Graph, longest: int = 4) -> DataFrame:
     return lost.select("nodes", "total_weight", F.exp(-F.col("total_weight")).alias("gain"))
 
 
+def losing_cycle(graph: Graph, loops: bool = False) -> DataFrame:
+    """(nodes, total_weight, gain) of one losing cycle of any length, or no row if there is none: all nodes start at 0,
+    and predecessors are kept. If a round still improves after as many as nodes, walking them back from any node that it
+    improved ends in a losing cycle. Self-loops count only with loops."""
+    spark, schema = graph.nodes.sparkSession, "nodes array<string>, total_weight double"
+    ids = graph.nodes.select("id").distinct()
+    edges = graph.edges.where("weight is not null").where(F.lit(loops) | F.expr("source != target")).groupBy("source", "target").agg(F.min("weight").alias("weight"))
+    edges = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    edges = cut(edges.withColumnRenamed("source", "node"), "edges")
+    best = cut(ids.select(F.col("id").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("string").alias("prev"), F.lit(None).cast("double").alias("via")), "dist")
+    better = best
+    for _ in range(best.count()):
+        step = better.select("node", "dist").join(edges, "node")
+        way = F.struct((F.col("dist") + F.col("weight")).alias("dist"), F.col("node").alias("prev"), F.col("weight").alias("via"))
+        offers = step.groupBy("target").agg(F.min(way).alias("way")).select(F.col("target").alias("node"), "way.*")
+        old = best.select("node", F.col("dist").alias("old"))
+        better = cut(offers.join(old, "node").where(F.col("dist") < F.col("old") - TOLERANCE).drop("old"), "better")
+        if better.isEmpty():
+            break
+        best = cut(best.join(better.select("node"), "node", "left_anti").unionByName(better), "dist")
+    last = better.agg(F.min("node").alias("node")).first()["node"]
+    if last is None:
+        return spark.createDataFrame([], schema).withColumn("gain", F.lit(0.0))
+    walk, via = [last], []
+    while walk[-1] not in walk[:-1]:  # one keyed lookup for each hop
+        row = best.where(F.col("node") == walk[-1]).select("prev", "via").first()
+        walk.append(row["prev"])
+        via.append(row["via"])
+    first = walk.index(walk[-1])
+    found = spark.createDataFrame([(walk[:first:-1], sum(via[first:]))], schema)
+    return found.select(canonical_cycle(F.col("nodes")).alias("nodes"), "total_weight", F.exp(-F.col("total_weight")).alias("gain"))
+
+
+def losing_cycles(graph: Graph, longest: int = 4) -> DataFrame:
+    """negative_cycles, and a losing cycle of more than `longest` edges where losing_cycle meets one: rows wherever any
+    cycle is losing."""
+    return negative_cycles(graph, longest).unionByName(losing_cycle(graph).where(F.size("nodes") > longest + 1))
+
+
 def has_negative_cycle(graph: Graph) -> bool:
-    """Whether any cycle at all is losing: all nodes start at 0, and a round still improves after as many as nodes."""
-    edges = cut(graph.edges.where("weight is not null").select(F.col("source").alias("node"), "target", "weight"), "edges")
-    best = cut(graph.nodes.select(F.col("id").alias("node"), F.lit(0.0).alias("dist")), "dist")
-    for _ in range(graph.nodes.count()):
-        offers = best.join(edges, "node").groupBy("target").agg(F.min(F.col("dist") + F.col("weight")).alias("offer"))
-        joined = best.join(offers.withColumnRenamed("target", "node"), "node", "left")
-        step = cut(joined.select("node", "dist", F.least("dist", "offer").alias("now")), "step")
-        if step.where(F.col("now") < F.col("dist") - TOLERANCE).isEmpty():
-            return False
-        best = step.select("node", F.col("now").alias("dist"))
-    return not best.isEmpty()
+    """Whether any cycle at all is losing, self-loops included."""
+    return not losing_cycle(graph, loops=True).isEmpty()

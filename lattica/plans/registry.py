@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from lattica.functions import vocab
 from lattica.operators.centrality import eigenvector_centrality
-from lattica.operators.paths import negative_cycles, route
+from lattica.operators.paths import losing_cycles, route
 from lattica.sources.graphs import Graph
 
 UNBOUNDED = float("inf")
@@ -92,7 +92,7 @@ class Registry:
 BUILT_IN = (
     Algorithm("cheapest-route", "fx-routing", "paths", lambda graph, source, target: route(graph, source, target), "foreground", ("client-ts", "server-query"), {"client-ts": 20_000}, (Parameter("source", "nodeId", True), Parameter("target", "nodeId", True))),
     Algorithm("eigenvector-centrality", "centrality", "scores", lambda graph, max_iterations=100, tolerance=1e-6: eigenvector_centrality(graph, max_iterations, tolerance), "brightness", ("client-ts", "precomputed-cron", "server-native"), {"client-ts": 20_000}, (Parameter("max_iterations", "number", default=100), Parameter("tolerance", "number", default=1e-6))),
-    Algorithm("negative-cycles", "cycle", "cycles", lambda graph, longest=4: negative_cycles(graph, longest), "edge-pulse", ("client-ts", "server-query"), {}, (Parameter("longest", "number", default=4),)),
+    Algorithm("negative-cycles", "cycle", "cycles", lambda graph, longest=4: losing_cycles(graph, longest), "edge-pulse", ("client-ts", "server-query"), {}, (Parameter("longest", "number", default=4),)),
 )
 
 
