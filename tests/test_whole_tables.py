@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from lattica.operators import labels
-from lattica.plans import catalog
+from lattica.plans import catalog, queries  # noqa: F401  registers them
 
 
 def written(folder, **tables):
