@@ -348,8 +348,7 @@ def coreness(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT id, CASE WHEN k > 0 THEN '#ad5700' ELSE '#546cb7' END AS color FROM d WHERE (SELECT min(k) FROM d) = 24""",
 )
 def core_periphery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = communities.core_periphery(communities.coreness(nation_graph(spark, sf_dir)))
-    return found.where((F.lit(table(spark, sf_dir, "supplier").count()) >= 100)).select("id", "color")
+    return communities.core_periphery(communities.coreness(nation_graph(spark, sf_dir))).select("id", "color")
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
