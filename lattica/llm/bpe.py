@@ -1,9 +1,14 @@
-"""Byte-level BPE by merge replay over a corpus of distinct words, and decoding by gathers.
+"""Byte-level BPE by merge replay over the corpus's distinct pieces, and decoding by gathers.
 
-The distinct pieces of a block of documents are laid out in one array of byte tokens. An inverted index leads from each
-adjacent token pair to its positions. Pairs are taken in rank order; each is applied at all its positions at once, from
-left to right, and only the pairs with the touched neighbours are filed anew. Documents are then put together from
-their pieces' ids by gathers, so that text is never encoded twice in a worker for a piece it has seen.
+Texts are tiled with pieces. Blocks of documents send their distinct pieces to slices of the space of pieces, so that
+each piece of the corpus comes to one slice, however often it occurs, and there from each block once. In a slice the
+distinct pieces are laid out in one array of byte tokens. An inverted index leads from each adjacent token pair to its
+positions. Pairs are taken in rank order; each is applied at all its positions, from left to right, and only the pairs
+with the touched neighbours are filed anew. The ids go back to the blocks, which put documents together by gathers.
+
+A block is named by its texts' bytes, so the two scans of the documents, for pieces and for texts, agree on it wherever
+a task runs again. Should a block's texts come without answers, as where an input changes from scan to scan, its pieces
+are encoded on the spot.
 """
 
 from __future__ import annotations
@@ -19,11 +24,24 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from lattica.llm.interned import Interned
-from lattica.llm.words import chunks, mix, words
-
-BLOCK = 1 << 20
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from lattica.llm.tables import slices_for
+from lattica.llm.words import chunks, span_hashes, text_buffer, words
+
+#: Text bytes of a block, text bytes behind a slice of the pieces, and bytes of distinct pieces replayed at once.
+BLOCK, SLICE, REPLAY = 4 << 20, 8 << 20, 1 << 20
+#: The pattern whose pieces are found by arrays; those of another are found text by text.
+KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Of each byte: 0 white space, 1 a letter or part of one from U+00C0 to U+023F, 2 a digit, 3 a symbol, 4 anything else.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[33:127] = 3
+_KIND[ord("'")] = 4  # may begin an ending such as 's
+_KIND[48:58] = 2
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[0x80:0xC0] = _KIND[0xC3:0xC9] = 1
+_KIND[[32, 9, 10, 11, 12, 13]] = 0
 #: White space beyond ASCII's six, as UTF-8: rows with any of it go piece by piece.
 _WIDE = regex.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
@@ -105,89 +123,88 @@ class Replay:
         return out
 
 
+def _gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """data[start : start + length] of all the spans, one after the other."""
+    total = np.cumsum(length)
+    return data[np.arange(total[-1] if len(total) else 0) + np.repeat(start - total + length, length)]
+
+
 class Codec:
-    """Encodes blocks of documents and decodes ids, for one rank file and one splitting pattern."""
+    """Tiles texts with pieces, encodes pieces and decodes ids, for one rank file and one splitting pattern."""
 
     def __init__(self, path: str, pattern: str):
         self.replay = Replay(read_ranks(path))
-        self._split = regex.compile(pattern)
-        self.table = Interned(self._encode, 600_000)
+        self._known, self._split = pattern == KNOWN, regex.compile(pattern)
         size = max(self.replay.bytes_of) + 1
         tokens = [self.replay.bytes_of.get(i, b"") for i in range(size)]
         self._length = np.fromiter(map(len, tokens), np.int64, size)
         self._start = np.cumsum(self._length) - self._length
         self._data = np.frombuffer(b"".join(tokens), np.uint8)
 
-    def _encode(self, strings: list[bytes]) -> list[list[int]]:
-        split = [[x.encode("utf-8", "surrogatepass") for x in self._split.findall(s.decode("utf-8", "surrogatepass"))] for s in strings]
-        pieces = list({p for s in split for p in s})
-        ids = dict(zip(pieces, self.replay.encode(pieces), strict=True))
+    def tiled(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' bytes, the starts of units that tile them, and each row's first unit. A unit is a piece, or a word
+        of several pieces that depend on nothing around it; a space before a word is its own."""
+        raw, off = text_buffer(column)
+        begins = np.zeros(len(raw) + 1, bool)
+        if self._known:
+            w = words(column)
+            opens = np.empty(len(w.starts), np.int64)  # where the white space before each word starts
+            opens[1:] = w.ends[:-1]
+            heads = np.flatnonzero(w.counts > 0)
+            opens[w.first[heads]] = off[heads]
+            spaced = (w.starts > opens) & (raw[np.maximum(w.starts - 1, 0)] == 32)
+            kind = _KIND[raw]
+            sign = np.flatnonzero((raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)))
+            kind[sign] = kind[sign + 1] = 3
+            begins[1:-1] = kind[1:] != kind[:-1]
+            begins[:-1] &= kind != 0
+            odd = np.diff(np.concatenate(([0], np.cumsum(kind == 4)))[np.stack([w.starts, w.ends], 1)], axis=1)[:, 0] > 0
+            if odd.any():
+                turn = np.zeros(len(raw) + 1, np.int8)
+                np.add.at(turn, w.starts[odd], 1)
+                np.add.at(turn, w.ends[odd], -1)
+                begins[np.cumsum(turn, dtype=np.int8) > 0] = False
+            begins[w.starts[spaced]] = False
+            begins[w.starts - spaced] = True
+            begins[opens[w.starts > opens]] = True  # all white space but its last character
+            begins[w.starts[~spaced & (w.starts > opens)] - 1] = True
+            tail = off[:-1].copy()
+            tail[heads] = w.ends[w.first[1:][heads] - 1]
+            begins[tail[tail < off[1:]]] = True
+            whole = sorted({int(np.searchsorted(off, m.start(), side="right")) - 1 for m in _WIDE.finditer(raw.tobytes())})
+        else:
+            whole = np.flatnonzero(np.diff(off)).tolist()
+        for r in whole:
+            pieces = [x.encode("utf-8", "surrogatepass") for x in self._split.findall(raw[off[r] : off[r + 1]].tobytes().decode("utf-8", "surrogatepass"))]
+            ends = off[r] + np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+            begins[off[r] : off[r + 1]] = False
+            begins[np.append(off[r], ends[:-1])] = True
+        starts = np.flatnonzero(begins[:-1])
+        return raw, starts, np.searchsorted(starts, off)
+
+    def encode_units(self, strings: list[bytes]) -> list[list[int]]:
+        """Ids of each unit, by merge replay over all their distinct pieces."""
+        if not strings:
+            return []
+        kinds = _KIND[np.frombuffer(b"".join(strings), np.uint8)]
+        end = np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings)))
+        odd = (np.maximum.reduceat(kinds, end - np.diff(end, prepend=0)) > 3).tolist() if self._known else [True] * len(strings)
+        split = [[x.encode("utf-8", "surrogatepass") for x in self._split.findall(s.decode("utf-8", "surrogatepass"))] if o else [s] for s, o in zip(strings, odd, strict=True)]
+        pieces = list(dict.fromkeys(p for s in split for p in s))
+        ids: dict[bytes, list[int]] = {}
+        at = held = 0
+        for i, p in enumerate(pieces):
+            held += len(p)
+            if held > REPLAY or i + 1 == len(pieces):
+                ids.update(zip(pieces[at : i + 1], self.replay.encode(pieces[at : i + 1]), strict=True))
+                at, held = i + 1, 0
         return [ids[s[0]] if len(s) == 1 else [i for p in s for i in ids[p]] for s in split]
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows in a row, and each row's number of ids."""
-        self.table.room()
-        w = words(column)
-        raw, n, rows = w.raw, len(w.hashes), len(w.first) - 1
-        size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-        off = np.concatenate(([0], np.cumsum(size)))
-        row = w.rows
-        entry = np.zeros(2 * n + rows, np.int64)
-        opens = np.empty(n, np.int64)  # where the white space before each word starts
-        opens[1:] = w.ends[:-1]
-        heads = w.first[:-1][w.counts > 0]
-        opens[heads] = off[:-1][row[heads]]
-        spaced = (w.starts > opens) & (raw[np.maximum(w.starts - 1, 0)] == 32)
-        begins = w.starts - spaced
-        get = lambda i: raw[begins[i] : w.ends[i]].tobytes()
-        entry[2 * np.arange(n) + 1 + row] = self.table.entries(mix(w.hashes ^ spaced.astype(np.uint64), 1), get)
-        self._gaps(entry, raw, opens, begins, spaced, 2 * np.arange(n) + row)
-        full = w.counts > 0
-        tail = np.where(full, w.ends[np.maximum(w.first[1:] - 1, 0)] if n else off[:-1], off[:-1])
-        self._gaps(entry, raw, tail, off[1:], np.ones(rows, bool), 2 * w.first[1:] + np.arange(rows))
-        parts = entry, 2 * w.first + np.arange(rows + 1)
-        for r in self._wide_rows(raw, off):
-            parts = self._by_pieces(parts, r, raw[off[r] : off[r + 1]].tobytes())
-        ids, lengths = self.table.gather(parts[0])
-        total = np.concatenate(([0], np.cumsum(lengths)))[parts[1]]
-        return ids, np.diff(total)
-
-    def _gaps(self, entry: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, whole: np.ndarray, place: np.ndarray) -> None:
-        """Entries of the white space raw[begin:end]: one piece where whole, else its last character is a piece of its own."""
-        some = np.flatnonzero(end > begin)
-        if not len(some):
-            return
-        begin, end, whole = begin[some], end[some], whole[some]
-        keys = raw[begin].astype(np.uint64)
-        strings = {}
-        for i in np.flatnonzero(end - begin > 1):
-            strings[i] = (b"1" if whole[i] else b"2") + raw[begin[i] : end[i]].tobytes()
-            keys[i] = np.frombuffer(hashlib.blake2b(strings[i], digest_size=8).digest(), np.uint64)[0]
-        get = lambda i: strings.get(i) or b"1" + raw[begin[i] : begin[i] + 1].tobytes()
-        entry[place[some]] = self.table.entries(mix(keys, 5), get, self._encode_gaps)
-
-    def _encode_gaps(self, strings: list[bytes]) -> list[list[int]]:
-        parts = [[s[1:]] if s[:1] == b"1" else [s[1:-1], s[-1:]] for s in strings]
-        return [[i for ids in self.replay.encode(p) for i in ids] for p in parts]
-
-    def _wide_rows(self, raw: np.ndarray, off: np.ndarray) -> list[int]:
-        found = {int(np.searchsorted(off, m.start(), side="right")) - 1 for m in _WIDE.finditer(raw.tobytes())}
-        return sorted(found)
-
-    def _by_pieces(self, parts: tuple[np.ndarray, np.ndarray], r: int, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        pieces = [x.encode("utf-8", "surrogatepass") for x in self._split.findall(text.decode("utf-8", "surrogatepass"))]
-        keys = np.array([int.from_bytes(hashlib.blake2b(p, digest_size=8, key=b"piece").digest(), "little") for p in pieces], np.uint64)
-        own = self.table.entries(keys, pieces.__getitem__)
-        entry, edge = parts
-        grown = len(own) - (edge[r + 1] - edge[r])
-        return np.concatenate([entry[: edge[r]], own, entry[edge[r + 1] :]]), np.concatenate([edge[: r + 1], edge[r + 1 :] + grown])
-
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all rows in a row, and each row's number of bytes."""
         length = self._length[ids]
-        total = np.cumsum(length)
-        at = np.arange(total[-1] if len(total) else 0) + np.repeat(self._start[ids] - total + length, length)
-        return self._data[at], np.diff(np.concatenate(([0], total))[np.concatenate(([0], np.cumsum(counts)))])
+        total = np.concatenate(([0], np.cumsum(length)))
+        return _gathered(self._data, self._start[ids], length), np.diff(total[np.concatenate(([0], np.cumsum(counts)))])
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -199,43 +216,167 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs(doc_id, text, ...) without text, with ids (array of int) and decoded (the ids' bytes).
+class Units:
+    """A block's distinct units, dealt out to slices. Equal texts have equal units in the same order."""
 
-    A null or empty text has no ids. Special tokens aren't known. Other columns are kept, but for columns named ids and
-    decoded, which are replaced. Repeated rows are encoded each for itself. path must be readable on every executor.
-    """
-    names = [c for c in docs.columns if c not in ("text", "ids", "decoded")]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "ids array<int>, decoded binary"])
+    def __init__(self, own: Codec, column: pa.Array, slices: int):
+        self.raw, starts, self.first = own.tiled(column)
+        ends = np.append(starts[1:], len(self.raw)) if len(starts) else starts
+        hashes, where, self.inverse = np.unique(span_hashes(self.raw, starts, ends), return_index=True, return_inverse=True)
+        part = (hashes >> np.uint64(40)).astype(np.int64) % slices
+        order = np.argsort(part, kind="stable")
+        self.place = np.empty_like(order)
+        self.place[order] = np.arange(len(order))
+        self.start, self.length = starts[where[order]], (ends - starts)[where[order]]
+        edge = np.flatnonzero(np.concatenate(([True], part[order][1:] != part[order][:-1], [True]))) if len(order) else np.zeros(1, np.int64)
+        self.slices = list(zip(part[order][edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+        name = hashlib.blake2b(self.raw, digest_size=16)
+        name.update(self.first.tobytes())
+        self.block = name.digest()
+
+    def strings(self, a: int, b: int) -> list[bytes]:
+        return [self.raw[s : s + n].tobytes() for s, n in zip(self.start[a:b].tolist(), self.length[a:b].tolist(), strict=True)]
+
+    def packed(self, a: int, b: int) -> bytes:
+        return np.int64(b - a).tobytes() + self.length[a:b].astype("<u4").tobytes() + _gathered(self.raw, self.start[a:b], self.length[a:b]).tobytes()
+
+
+def _unpacked(payload: bytes) -> list[bytes]:
+    n = int.from_bytes(payload[:8], "little")
+    end = 8 + 4 * n + np.cumsum(np.frombuffer(payload, "<u4", n, 8).astype(np.int64))
+    return [payload[a:b] for a, b in zip(np.append(8 + 4 * n, end[:-1]).tolist(), end.tolist(), strict=True)]
+
+
+_ROWS = "slice long, block binary, payload binary"
+
+
+def _rows(rows: list[tuple[int | None, bytes, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], ["slice", "block", "payload"])
+
+
+def _sent(path: str, pattern: str, slices: int):
+    """Each block's distinct units, a row for each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
         for batch in batches:
             for part in chunks(batch, "text", BLOCK):
-                ids, counts = own.encode(part.column("text"))
-                data, sizes = own.decode(ids, counts)
-                edges = lambda x: pa.array(np.concatenate(([0], np.cumsum(x))), pa.int32())
-                lists = pa.ListArray.from_arrays(edges(counts), pa.array(ids.view(np.int32)))
-                raw = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, edges(sizes).buffers()[1], pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), lists, raw], [*names, "ids", "decoded"])
+                units = Units(codec(path, pattern), part.column("text"), slices)
+                yield _rows([(k, units.block, units.packed(a, b)) for k, a, b in units.slices])
+
+    return run
+
+
+def _answered(path: str, pattern: str):
+    """Of one slice: the ids of each block's units, in their order."""
 
-    return docs.select(*names, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        payloads, number = part.column("payload").to_pylist(), {}
+        lists = [[number.setdefault(x, len(number)) for x in _unpacked(p)] for p in payloads]
+        ids = codec(path, pattern).encode_units(list(number))
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat, start = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum())), np.cumsum(length) - length
+        wide = "<u4" if len(flat) and flat.max() >= 1 << 16 else "<u2"
+        out = []
+        for block, own in zip(part.column("block").to_pylist(), lists, strict=True):
+            at = np.array(own, np.int64)
+            out.append((key[0].as_py(), block, np.array([len(at), int(wide[2])], "<i8").tobytes() + length[at].astype("<u4").tobytes() + _gathered(flat, start[at], length[at]).astype(wide).tobytes()))
+        return pa.Table.from_batches([_rows(out)])
 
+    return run
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's ids and of the bytes they decode to."""
+
+def _texts(path: str, pattern: str):
+    """Each block's texts and other columns, compressed, under its name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
         for batch in batches:
             for part in chunks(batch, "text", BLOCK):
-                ids, counts = own.encode(part.column("text"))
-                data, sizes = own.decode(ids, counts)
-                hashed = []
-                for values, lengths in ((ids.astype("<u4"), counts), (data, sizes)):
-                    end = np.cumsum(lengths)
-                    hashed.append([hashlib.sha256(values[a:b]).hexdigest() for a, b in zip(end - lengths, end, strict=True)])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), *map(pa.array, hashed)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                yield _rows([(None, Units(codec(path, pattern), part.column("text"), 1).block, sink.getvalue().to_pybytes())])
+
+    return run
+
+
+def _coded(path: str, pattern: str, slices: int, finish, schema: pa.Schema):
+    """Of one block: its rows with their ids, by finish(batch, ids, counts, bytes, sizes)."""
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        own, out, answers = codec(path, pattern), [], {}
+        for slice_, payload in zip(part.column("slice").to_pylist(), part.column("payload").to_pylist(), strict=True):
+            if slice_ is not None:
+                answers[slice_] = payload
+        for payload in part.filter(pc.is_null(part.column("slice"))).column("payload"):
+            (batch,) = pa.ipc.open_stream(payload.as_buffer()).read_all().combine_chunks().to_batches()
+            units = Units(own, batch.column("text"), slices)
+            length, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+            for slice_, a, b in units.slices:
+                if (have := answers.get(slice_)) is not None:
+                    n, wide = np.frombuffer(have, "<i8", 2).tolist()
+                    length.append(np.frombuffer(have, "<u4", n, 16).astype(np.int64))
+                    ids.append(np.frombuffer(have, f"<u{wide}", -1, 16 + 4 * n).astype(np.uint32))
+                else:
+                    found = own.encode_units(units.strings(a, b))
+                    length.append(np.fromiter(map(len, found), np.int64, len(found)))
+                    ids.append(np.array([i for x in found for i in x], np.uint32))
+            length, flat = np.concatenate(length), np.concatenate(ids)
+            at = units.place[units.inverse]
+            total = np.concatenate(([0], np.cumsum(length[at])))
+            ids, counts = _gathered(flat, (np.cumsum(length) - length)[at], length[at]), np.diff(total[units.first])
+            data, sizes = own.decode(ids, counts)
+            if not np.array_equal(data, units.raw):
+                raise ValueError("ids don't decode to their text")
+            out.append(finish(batch, ids, counts, data, sizes))
+        return pa.Table.from_batches(out, schema)
+
+    return run
+
+
+def _through(docs: DataFrame, path: str, pattern: str, finish, schema: str, slices: int | None) -> DataFrame:
+    slices = slices or slices_for(docs, "text", SLICE)
+    sent = docs.select("text").mapInArrow(_sent(path, pattern, slices), _ROWS)
+    answers = sent.groupBy("slice").applyInArrow(_answered(path, pattern), _ROWS)
+    return docs.mapInArrow(_texts(path, pattern), _ROWS).unionByName(answers).groupBy("block").applyInArrow(_coded(path, pattern, slices, finish, to_arrow_schema(StructType.fromDDL(schema))), schema)
+
+
+def encoded(docs: DataFrame, path: str, pattern: str, slices: int | None = None) -> DataFrame:
+    """docs(doc_id, text, ...) without text, with ids (array of int) and decoded (the ids' bytes).
+
+    A null or empty text has no ids. Special tokens aren't known. Other columns are kept, but for columns named ids and
+    decoded, which are replaced. Repeated rows are encoded each for itself; of two merges of one rank in a piece the
+    left one comes first. An empty table gives an empty one. A text of any length is taken whole: one that is longer
+    than a block is a block of its own. path must be readable on every executor.
+    """
+    names = [c for c in docs.columns if c not in ("text", "ids", "decoded")]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "ids array<int>, decoded binary"])
+
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def finish(batch, ids, counts, data, sizes):
+        edges = lambda x: pa.array(np.concatenate(([0], np.cumsum(x))), pa.int32())
+        lists = pa.ListArray.from_arrays(edges(counts), pa.array(ids.view(np.int32)))
+        raw = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, edges(sizes).buffers()[1], pa.py_buffer(data)])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists, raw], target)
+
+    typed = docs.select(*names, F.col("text").cast("string").alias("text"))
+    return _through(typed, path, pattern, finish, schema, slices)
+
+
+def digests(docs: DataFrame, path: str, pattern: str, slices: int | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's ids and of the bytes they decode to; rows and odd
+    texts are treated as encoded() treats them, and columns but doc_id and text aren't read."""
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def finish(batch, ids, counts, data, sizes):
+        hashed = []
+        for values, lengths in ((ids.astype("<u4"), counts), (data, sizes)):
+            end = np.cumsum(lengths)
+            hashed.append([hashlib.sha256(values[a:b]).hexdigest() for a, b in zip(end - lengths, end, strict=True)])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), *(pa.array(x, pa.string()) for x in hashed)], target)
 
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return typed.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _through(typed, path, pattern, finish, schema, slices)

@@ -6,6 +6,7 @@ All arithmetic is modulo 2**64 on numpy arrays; no Python object is made per wor
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,8 @@ SEGMENT = 1 << 20
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[str, np.ndarray] = {}
@@ -85,6 +86,27 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span; spans are in order and don't overlap. Bytes are taken in bounded segments, and
+    a span longer than one is hashed by itself."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = int(np.searchsorted(ends, base + SEGMENT, side="right"))
+        if to <= at:
+            out[at] = int.from_bytes(hashlib.blake2b(raw[base : ends[at]], digest_size=8).digest(), "little")
+            at += 1
+            continue
+        b = raw[base : ends[to - 1]]
+        c = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_BYTE[b] * _power(len(b), False), out=c[1:])
+        s, e = starts[at:to] - base, ends[at:to] - base
+        out[at:to] = mix((c[e] - c[s]) * _power(len(b), True)[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        at = to
+    return out
+
+
 def _spans(b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word spans in b; a word also ends at each of the cuts."""
     solid = np.concatenate(([False], ~_SPACE[b], [False]))
@@ -120,11 +142,7 @@ def words(column: pa.Array, lower: bool = False) -> Words:
         lo, hi = np.searchsorted(off, [at, end])
         s, e = _spans(b, off[lo:hi] - at)
         if len(s):
-            v = _BYTE[_LOWER[b]] if lower else _BYTE[b]
-            c = np.zeros(len(b) + 1, np.uint64)
-            np.cumsum(v * _power(len(b), False), out=c[1:])
-            h = (c[e] - c[s]) * _power(len(b), True)[s]
-            hashes.append(mix(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+            hashes.append(span_hashes(LOWER[b] if lower else b, s, e))
             starts.append(s + at)
             ends.append(e + at)
         at = end
