@@ -12,7 +12,9 @@ length in two levels, by buckets and within them, so no length is gathered in on
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -26,11 +28,12 @@ from pyspark.sql.window import Window
 
 from lattica.llm.interned import Interned
 from lattica.llm.tables import settled
-from lattica.llm.words import chunks, words
+from lattica.llm.words import LOWER, chunks, span_hashes, words
 
 CAPACITY = 2048
 #: Parts of the capacity from which on lengths count as large: each is planned for, and the plan of fewest sequences kept.
-LARGE = (1 / 2, 1 / 3, 1 / 4, 1 / 8)
+#: With the last no length is large, so that no plan needs more sequences than best fit alone.
+LARGE = (1 / 2, 1 / 3, 1 / 4, 1 / 8, 2)
 #: The groups that large lengths are rounded up in.
 GROUPS = 8
 BLOCK = 1 << 20
@@ -188,18 +191,111 @@ def _substitute(out: Plan, segments: list[tuple[int, int, int]], stream: list[li
     return after
 
 
-_tables: dict[str, Interned] = {}
+#: The pattern that parts ordinary words of a known tokenizer, after lower-casing; white space is dropped.
+KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Of each byte: 0 white space, 1 a letter or part of one from U+00C0 to U+023F, 2 a digit, 3 a symbol, 4 anything else.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[33:127] = 3
+_KIND[ord("'")] = 4  # may begin an ending such as 's
+_KIND[48:58] = 2
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[0x80:0xC0] = _KIND[0xC3:0xC9] = 1
+_KIND[[32, 9, 10, 11, 12, 13]] = 0
+#: Two-byte characters of that range that are no letters (U+00D7, U+00F7), or are two when lower-cased (U+0130).
+_ODD = ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0))
 
 
-def _table(path: str) -> Interned:
-    """A worker's word table for a tokenizer that drops white space, so that words can be encoded one by one."""
-    if path not in _tables:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class WordTokens:
+    """A worker's table of token ids for a tokenizer that drops white space.
+
+    Ordinary words, of letters up to U+023F, digits and symbols, are parted as the tokenizer's pattern parts them, and
+    each part is encoded once, whatever its case; other words, and those with a special token's string, are encoded as
+    they are. A tokenizer of another pattern or normalisation gets all words as they are.
+    """
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _tables[path] = Interned(lambda xs: [e.ids for e in tokenizer.encode_batch_fast([x.decode("utf-8", "surrogatepass") for x in xs], add_special_tokens=False)], 800_000)
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        parts = (said["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        kinds = [x["type"] for x in (said["normalizer"] or {}).get("normalizers") or []]
+        self.known = parts[0].get("pattern") == {"Regex": KNOWN} and [x["type"] for x in parts] == ["Split", "ByteLevel"] and kinds == ["NFC", "Replace", "Lowercase"]
+        self._whole, self._part = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self._part.normalizer = normalizers.Lowercase()
+        self._part.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        special = [re.escape(x.content.encode()) for x in self._whole.get_added_tokens_decoder().values()]
+        self._special = re.compile(b"|".join(special)) if special else None
+        self.table = Interned(self._encode)
+
+    def _encode(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, lengths = [None] * len(strings), np.zeros(len(strings), np.int64)
+        joined = b"".join(strings)
+        end = np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings)))
+        other = self._other(np.frombuffer(joined, np.uint8), joined)
+        plain = np.diff(np.concatenate(([0], np.cumsum(other)))[np.concatenate(([0], end))]) == 0 if self.known else np.zeros(len(strings), bool)
+        some = np.flatnonzero(plain)
+        for at in range(0, len(some), 4000):
+            group = some[at : at + 4000]
+            done = self._part.encode(b" ".join(strings[i] for i in group.tolist()).decode(), add_special_tokens=False)
+            number = np.bincount(np.array(done.word_ids, np.int64), minlength=len(group))
+            flat, last = np.array(done.ids, np.uint32), np.cumsum(number)
+            lengths[group] = number
+            for i, a, b in zip(group.tolist(), (last - number).tolist(), last.tolist(), strict=True):
+                ids[i] = flat[a:b]
+        odd = np.flatnonzero(~plain).tolist()
+        for i, done in zip(odd, self._whole.encode_batch_fast([strings[i].decode("utf-8", "surrogatepass") for i in odd], add_special_tokens=False), strict=True):
+            ids[i] = np.array(done.ids, np.uint32)
+            lengths[i] = len(ids[i])
+        return np.concatenate(ids), lengths
+
+    def _other(self, raw: np.ndarray, joined: bytes) -> np.ndarray:
+        """Which bytes make their word one that isn't ordinary."""
+        out = _KIND[raw] == 4
+        for lead, last in _ODD:
+            out[1:] |= (raw[:-1] == lead) & (raw[1:] == last)
+        if self._special:
+            out[[m.start() for m in self._special.finditer(joined)]] = True
+        return out
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows in a row, and each row's number of ids."""
+        self.table.room()
+        w = words(column)
+        raw, kind = w.raw, _KIND[w.raw]
+        if not len(w.starts):
+            return np.zeros(0, np.uint32), np.zeros(len(w.first) - 1, np.int64)
+        other = np.concatenate(([0], np.cumsum(self._other(raw, raw.tobytes()))))
+        odd = other[w.ends] > other[w.starts] if self.known else np.ones(len(w.starts), bool)
+        begins = np.zeros(len(raw), bool)
+        begins[1:] = kind[1:] != kind[:-1]
+        begins |= kind == 2
+        begins &= kind != 0
+        folded = LOWER[raw]
+        if odd.any():
+            turn = np.zeros(len(raw) + 1, np.int8)
+            np.add.at(turn, w.starts[odd], 1)
+            np.add.at(turn, w.ends[odd], -1)
+            inside = np.cumsum(turn[:-1], dtype=np.int8) > 0
+            begins &= ~inside
+            folded[inside] = raw[inside]
+        begins[w.starts] = True
+        starts = np.flatnonzero(begins)
+        own = np.searchsorted(starts, w.starts)
+        ends = np.append(starts[1:], 0)
+        ends[np.append(own[1:], len(starts)) - 1] = w.ends
+        ids, number = self.table.gather(self.table.entries(span_hashes(folded, starts, ends), lambda i: folded[starts[i] : ends[i]].tobytes()))
+        total = np.concatenate(([0], np.cumsum(number)))
+        return ids, np.diff(total[np.append(own, len(starts))[w.first]])
+
+
+_tables: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    if path not in _tables:
+        _tables[path] = WordTokens(path)
     return _tables[path]
 
 
@@ -207,14 +303,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and a final 0, cut into pieces of at most capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(path)
+        own = word_tokens(path)
         for batch in batches:
             for part in chunks(batch, "text", BLOCK):
-                table.room()
-                w = words(part.column("text"))
-                entries = table.entries(w.hashes, lambda i: w.raw[w.starts[i] : w.ends[i]].tobytes())  # noqa: B023
-                ids, lengths = table.gather(entries)
-                counts = np.diff(np.concatenate(([0], np.cumsum(lengths)))[w.first]) + 1
+                ids, counts = own.encode(part.column("text"))
+                counts = counts + 1
                 end = np.cumsum(counts)
                 flat = np.zeros(int(end[-1]), "<u4")
                 inside = np.ones(len(flat), bool)
@@ -262,9 +355,11 @@ def placed(items: DataFrame, made: Plan) -> DataFrame:
 def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of docs(doc_id, text) with the sequence and the offset that each goes to.
 
-    A null or empty text is the one id 0. Repeated rows are packed each. A null doc_id is kept as it is. An empty table
-    gives an empty one. Other columns aren't read. path names a tokenizers file that every executor can read, of a
-    tokenizer that drops white space.
+    A null or empty text is the one id 0. Repeated rows are packed each, and of equal pieces any may go to any of their
+    places. A null doc_id is kept as it is. An empty table gives an empty one. Other columns, however named, aren't read.
+    A text of any length is cut into pieces; at most one text and BLOCK bytes are in a worker's memory. path names a
+    tokenizers file that every executor can read, of a tokenizer that drops white space; strings of its special tokens
+    are those tokens, as the tokenizer has it.
     """
     items = settled(pieces(docs, path, capacity), "pieces")
     counts = {r["length"]: r["count"] for r in items.groupBy("length").count().collect()}  # at most `capacity` rows
