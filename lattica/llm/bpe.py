@@ -31,7 +31,9 @@ from lattica.llm.tables import slices_for
 from lattica.llm.words import chunks, span_hashes, text_buffer, words
 
 #: Text bytes of a block, text bytes behind a slice of the pieces, and bytes of distinct pieces replayed at once.
-BLOCK, SLICE, REPLAY = 4 << 20, 8 << 20, 1 << 20
+BLOCK, SLICE, REPLAY = 8 << 20, 8 << 20, 1 << 20
+#: The level at which texts are compressed for their way to their block's answers.
+LEVEL = 3
 #: The pattern whose pieces are found by arrays; those of another are found text by text.
 KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Of each byte: 0 white space, 1 a letter or part of one from U+00C0 to U+023F, 2 a digit, 3 a symbol, 4 anything else.
@@ -238,13 +240,25 @@ class Units:
         return [self.raw[s : s + n].tobytes() for s, n in zip(self.start[a:b].tolist(), self.length[a:b].tolist(), strict=True)]
 
     def packed(self, a: int, b: int) -> bytes:
-        return np.int64(b - a).tobytes() + self.length[a:b].astype("<u4").tobytes() + _gathered(self.raw, self.start[a:b], self.length[a:b]).tobytes()
+        return _packed(self.length[a:b], _gathered(self.raw, self.start[a:b], self.length[a:b]))
 
 
-def _unpacked(payload: bytes) -> list[bytes]:
-    n = int.from_bytes(payload[:8], "little")
-    end = 8 + 4 * n + np.cumsum(np.frombuffer(payload, "<u4", n, 8).astype(np.int64))
-    return [payload[a:b] for a, b in zip(np.append(8 + 4 * n, end[:-1]).tolist(), end.tolist(), strict=True)]
+def _packed(lengths: np.ndarray, flat: np.ndarray) -> bytes:
+    """Lists of bytes or ids, as their number, the widths of a length and of an item, the lengths and the items."""
+    wide, most = flat.itemsize, int(flat.max()) if len(flat) else 0
+    wide, each = 1 if wide == 1 else 2 if most < 1 << 16 else 4, 1 if not len(lengths) or lengths.max() < 1 << 8 else 4
+    return np.array([len(lengths), each, wide], "<i8").tobytes() + lengths.astype(f"<u{each}").tobytes() + flat.astype(f"<u{wide}").tobytes()
+
+
+def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, each, wide = np.frombuffer(payload, "<i8", 3).tolist()
+    return np.frombuffer(payload, f"<u{each}", n, 24).astype(np.int64), np.frombuffer(payload, f"<u{wide}", -1, 24 + each * n)
+
+
+def _strings(payload: bytes) -> list[bytes]:
+    lengths, flat = _unpacked(payload)
+    end, joined = np.cumsum(lengths), flat.tobytes()
+    return [joined[a:b] for a, b in zip((end - lengths).tolist(), end.tolist(), strict=True)]
 
 
 _ROWS = "slice long, block binary, payload binary"
@@ -272,15 +286,14 @@ def _answered(path: str, pattern: str):
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
         payloads, number = part.column("payload").to_pylist(), {}
-        lists = [[number.setdefault(x, len(number)) for x in _unpacked(p)] for p in payloads]
+        lists = [[number.setdefault(x, len(number)) for x in _strings(p)] for p in payloads]
         ids = codec(path, pattern).encode_units(list(number))
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         flat, start = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum())), np.cumsum(length) - length
-        wide = "<u4" if len(flat) and flat.max() >= 1 << 16 else "<u2"
         out = []
         for block, own in zip(part.column("block").to_pylist(), lists, strict=True):
             at = np.array(own, np.int64)
-            out.append((key[0].as_py(), block, np.array([len(at), int(wide[2])], "<i8").tobytes() + length[at].astype("<u4").tobytes() + _gathered(flat, start[at], length[at]).astype(wide).tobytes()))
+            out.append((key[0].as_py(), block, _packed(length[at], _gathered(flat, start[at], length[at]))))
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -293,7 +306,7 @@ def _texts(path: str, pattern: str):
         for batch in batches:
             for part in chunks(batch, "text", BLOCK):
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as out:
                     out.write_batch(part)
                 yield _rows([(None, Units(codec(path, pattern), part.column("text"), 1).block, sink.getvalue().to_pybytes())])
 
@@ -314,13 +327,12 @@ def _coded(path: str, pattern: str, slices: int, finish, schema: pa.Schema):
             length, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
             for slice_, a, b in units.slices:
                 if (have := answers.get(slice_)) is not None:
-                    n, wide = np.frombuffer(have, "<i8", 2).tolist()
-                    length.append(np.frombuffer(have, "<u4", n, 16).astype(np.int64))
-                    ids.append(np.frombuffer(have, f"<u{wide}", -1, 16 + 4 * n).astype(np.uint32))
+                    found = _unpacked(have)
                 else:
-                    found = own.encode_units(units.strings(a, b))
-                    length.append(np.fromiter(map(len, found), np.int64, len(found)))
-                    ids.append(np.array([i for x in found for i in x], np.uint32))
+                    lists = own.encode_units(units.strings(a, b))
+                    found = np.fromiter(map(len, lists), np.int64, len(lists)), np.array([i for x in lists for i in x], np.uint32)
+                length.append(found[0])
+                ids.append(found[1].astype(np.uint32))
             length, flat = np.concatenate(length), np.concatenate(ids)
             at = units.place[units.inverse]
             total = np.concatenate(([0], np.cumsum(length[at])))
