@@ -7,8 +7,9 @@ share a token among the first n - ceil(t n) + 1 of either, under *every* order.
 prefixes; those of the other orders must meet as well before a pair is verified on whole sets.
 
 Families of near copies would make quadratically many pairs. So each document is first held against two of the centres
-of its prefix tokens, in a few rounds; then only pairs that cross the components found so far are looked at. Pairs inside a component can
-change neither the components nor, after verification of the rest, any other result.
+of its prefix tokens, in a few rounds; then only pairs that cross the components found so far are looked at. Pairs inside
+a component can change neither the components nor, after verification of the rest, any other result. Where a token of the
+first order still has many documents, these meet only if they share a token of the second order's prefixes as well.
 """
 
 from __future__ import annotations
@@ -26,18 +27,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.components import components
-from lattica.llm.tables import discard, settled, slices_for
+from lattica.llm.tables import discard, settled, slices_for, small_batches
 from lattica.llm.words import chunks, mix, pack, unpack, windows, words
+from lattica.llm.workers import tidy, tidy_group
 
 SHINGLE = 5
 #: Two sets link when DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
 #: Text bytes tokenised at once, and text bytes whose tokens make one block of the exchange.
-CHUNK, BLOCK = 2 << 20, 12 << 20
+CHUNK, BLOCK = 2 << 20, 8 << 20
 #: Text bytes behind one slice of the token space.
 SLICE = 6 << 20
 #: Steps of the rarity class per doubling of a token's document count, for each order; the first is the one joined on.
 ORDERS = (4, 2, 1)
+#: Entries beyond which a token of the first order is joined on together with one of the second.
+HEAVY = 200
 #: Rounds in which each document is held against two centres before the remaining pairs across components are.
 STARS = 2
 _LOW40 = np.uint64((1 << 40) - 1)
@@ -92,8 +96,9 @@ _EXCHANGED = "slice long, block binary, kind int, payload binary"
 
 
 def _emit(docs: list, slices: int, place: bytes) -> pa.RecordBatch:
-    """One block: a header row, and a row of packed tokens for each slice that has any of them. Its id is of its header
-    and of its place, task and number, so that blocks of equal rows stay apart."""
+    """One block: a header row, and a row of packed tokens for each slice that has any of them, each token once with the
+    number of the block's documents that have it; what other documents have it goes straight to the block. Its id is of
+    its header and of its place, task and number, so that blocks of equal rows stay apart."""
     ids = pa.concat_arrays([d[0] for d in docs])
     size, digest = np.concatenate([d[3] for d in docs]), np.concatenate([d[4] for d in docs])
     base = np.concatenate(([0], np.cumsum([len(d[0]) for d in docs])))
@@ -106,12 +111,22 @@ def _emit(docs: list, slices: int, place: bytes) -> pa.RecordBatch:
     raw = sink.getvalue().to_pybytes()
     block = hashlib.blake2b(place + raw, digest_size=16).digest()
     rows = [(int.from_bytes(block[:4], "little") % slices, block, 0, raw)]
-    part = ((h >> np.uint64(40)) % np.uint64(slices)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    part, row, h = part[order], row[order], h[order]
+    part = (h >> np.uint64(40)) % np.uint64(slices)
+    token = (h & _LOW40) | part << np.uint64(40)
+    order = np.argsort(token, kind="stable")
+    token, row = token[order], row[order]
+    first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(token)))
+    again = count > 1
+    if again.any():
+        rest = np.ones(len(token), bool)
+        rest[first] = False
+        rows.append((rows[0][0], block, 2, np.int64(again.sum()).tobytes() + token[first[again]].astype("<u8").tobytes() + (count[again] - 1).astype("<u2").tobytes() + row[rest].astype("<u2").tobytes()))
+    token, row = token[first], row[first]
+    part = (token >> np.uint64(40)).astype(np.int64)
     edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else []
     for a, b in zip(edge[:-1], edge[1:], strict=False):
-        rows.append((int(part[a]), block, 1, row[a:b].astype("<u2").tobytes() + pack(h[a:b], 5)))
+        rows.append((int(part[a]), block, 1, row[a:b].astype("<u2").tobytes() + count[a:b].astype("<u2").tobytes() + pack(token[a:b], 5)))
     return _frame(rows)
 
 
@@ -126,7 +141,7 @@ def _token_blocks(slices: int):
                 for i, key in enumerate(map(bytes, digest)):  # of equal sets, one in a task sends its tokens
                     new[i] = key not in seen
                     seen.add(key)
-                if len(seen) > 2_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 keep = new[row]
                 if held and (held_bytes + part.nbytes > BLOCK or held_rows + part.num_rows > 65_535):
@@ -141,18 +156,22 @@ def _token_blocks(slices: int):
 
 
 def _shared_tokens(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-    """Of one slice: each block's tokens that two or more documents have, with their rarity class."""
-    out = part[part["kind"] == 0][["block", "kind", "payload"]]
+    """Of one slice: each block's tokens that two or more documents have, with their rarity class. A block has sent each
+    token once, so a slice's size doesn't depend on how many documents a token has."""
+    out = part[part["kind"] != 1][["block", "kind", "payload"]]
     data = part[part["kind"] == 1]
     if not len(data):
         return out
-    rows = [np.frombuffer(p[: len(p) // 7 * 2], "<u2") for p in data["payload"]]
-    tokens = [unpack(p[len(p) // 7 * 2 :], 5) for p in data["payload"]]
-    every = np.sort(np.concatenate(tokens))
-    edge = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1], [True])))
-    count = np.diff(edge)
+    size = [len(p) // 9 for p in data["payload"]]
+    rows = [np.frombuffer(p, "<u2", n) for p, n in zip(data["payload"], size, strict=True)]
+    tokens = [unpack(p[4 * n :], 5) for p, n in zip(data["payload"], size, strict=True)]
+    every, count = np.concatenate(tokens), np.concatenate([np.frombuffer(p, "<u2", n, 2 * n) for p, n in zip(data["payload"], size, strict=True)])
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    edge = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    count = np.add.reduceat(count[order], edge, dtype=np.int64)
     some = count > 1
-    known, cls = every[edge[:-1]][some], np.minimum(255, ORDERS[0] * np.log2(count[some])).astype(np.uint8)
+    known, cls = every[edge][some], np.minimum(255, ORDERS[0] * np.log2(count[some])).astype(np.uint8)
     replies = []
     for block, r, t in zip(data["block"], rows, tokens, strict=True):
         at = np.minimum(np.searchsorted(known, t), max(0, len(known) - 1))
@@ -176,6 +195,15 @@ def _documents(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         rows.append(np.frombuffer(p[16 : 16 + 2 * k], "<u2").astype(np.int64))
         cls.append(np.frombuffer(p[16 + 2 * k : 16 + 3 * k], np.uint8))
         tokens.append(unpack(p[16 + 3 * k :], 5) | (np.uint64(slice_ % (1 << 24)) << np.uint64(40)))
+    for p in part[part["kind"] == 2]["payload"]:
+        k = int.from_bytes(p[:8], "little")
+        again, times = np.frombuffer(p, "<u8", k, 8), np.frombuffer(p, "<u2", k, 8 + 8 * k)
+        have = np.concatenate(tokens)
+        order = np.argsort(have)
+        rare = np.concatenate(cls)[order[np.searchsorted(have, again, sorter=order)]]
+        rows.append(np.frombuffer(p, "<u2", -1, 8 + 10 * k).astype(np.int64))
+        tokens.append(np.repeat(again, times))
+        cls.append(np.repeat(rare, times))
     out = {c: [None] * len(n) for c in ("tokens", "first", "second", "third")}
     weight = np.zeros(len(n), np.int64)
     if rows:
@@ -232,15 +260,17 @@ def jaccard_join(docs: DataFrame, slices: int | None = None) -> DataFrame:
     """Near-duplicate classes of docs(doc_id, text): doc_id, n_shingles, component_id, one row for each row of docs.
 
     component_id is the smallest doc_id reachable through links, itself included. Texts that are null, empty or
-    without words have 0 shingles and their own doc_id. Rows with one doc_id count as one document when ids are
-    compared; a null doc_id takes its class's smallest id, or null if there is none. Other columns aren't read.
-    Links rest on 64-bit shingle hashes cut to 40 bits plus the slice, set classes on 128-bit digests.
+    without words have 0 shingles and their own doc_id. Rows with one doc_id, and repeated rows, each count; a null
+    doc_id has links like any other, and takes the smallest id that they reach, or null if there is none. A pair at
+    the threshold itself links. An empty table gives an empty one. Other columns, however named, aren't read. A text of
+    any length is taken whole. Links rest on 64-bit shingle hashes cut to 40 bits plus the slice, set classes on
+    128-bit digests.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     slices = slices or slices_for(texts, "text", SLICE)
-    blocks = texts.mapInArrow(_token_blocks(slices), _EXCHANGED)
-    blocks = blocks.groupBy("slice").applyInPandas(_shared_tokens, "block binary, kind int, payload binary")
-    found = blocks.groupBy("block").applyInPandas(_documents, _DOCS).withColumn("cls", F.concat(F.hex("d1"), F.hex("d2"))).drop("d1", "d2")
+    blocks = texts.mapInArrow(tidy(_token_blocks(slices)), _EXCHANGED)
+    blocks = blocks.groupBy("slice").applyInPandas(tidy_group(_shared_tokens), "block binary, kind int, payload binary")
+    found = blocks.groupBy("block").applyInPandas(tidy_group(_documents), _DOCS).withColumn("cls", F.concat(F.hex("d1"), F.hex("d2"))).drop("d1", "d2")
     found = settled(found, "sets")
     sets = found.where("tokens is not null").groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "weight", "tokens", "first", "second", "third")))
     sets, heads = settled(sets, "classes"), settled(found.select("doc_id", "n", "cls"), "heads")
@@ -264,16 +294,18 @@ def jaccard_join(docs: DataFrame, slices: int | None = None) -> DataFrame:
         discard(before, labels)
         if known.isEmpty():
             break
-    left, right = (known.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("cls", "n", "rest", "of"))) for s in ("a", "b"))
+    heavy = known.groupBy("token").count().where(F.col("count") > HEAVY).select("token")
+    both = known.join(heavy, "token", "left_semi").join(sets.select("cls", "second"), "cls").withColumn("also", F.explode("second")).drop("second")
+    known_by = settled(known.join(heavy, "token", "left_anti").withColumn("also", F.lit(0)).unionByName(both), "prefixes")
+    left, right = (known_by.select("token", "also", *(F.col(c).alias(f"{s}_{c}") for c in ("cls", "n", "rest", "of"))) for s in ("a", "b"))
     enough = 7 * F.least("a_rest", "b_rest") >= 3 * (F.col("a_n") + F.col("b_n"))
-    pairs = left.join(right, "token").where((F.col("a_of") < F.col("b_of")) & _near("a_n", "b_n") & enough)
+    pairs = left.join(right, ["token", "also"]).where((F.col("a_of") < F.col("b_of")) & _near("a_n", "b_n") & enough)
     pairs = pairs.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()
-    links = links.unionByName(_verified(pairs, sets))
-    classes = heads.groupBy("cls").agg(F.min("doc_id").alias("node"))
-    node = lambda s: classes.select(F.col("cls").alias(s), F.col("node").alias(f"{s}_node"))
-    named = links.join(node("a"), "a").join(node("b"), "b").where("a_node is not null and b_node is not null")
-    roots = components(named.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")))
-    discard(sets, known)
-    of_class = classes.join(roots.withColumnRenamed("node", "root"), F.col("node") == F.col("root"), "left")
-    of_class = of_class.select("cls", F.coalesce("component", "node").alias("found_id"))
+    rest = _verified(pairs, sets)
+    links = rest if links is None else links.unionByName(rest)
+    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    discard(sets, known, known_by)
+    classes = heads.groupBy("cls").agg(F.min("doc_id").alias("least"))
+    grouped = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("component", "cls").alias("root"))
+    of_class = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("found_id")), "root").select("cls", "found_id")
     return heads.join(of_class, "cls").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("found_id")).alias("component_id"))

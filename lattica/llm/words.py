@@ -7,7 +7,7 @@ All arithmetic is modulo 2**64 on numpy arrays; no Python object is made per wor
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +71,31 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int, rows: int = 60_000) ->
         at = end
 
 
+def blocks(batches: Iterable[pa.RecordBatch], text: str, limit: int, rows: int = 60_000) -> Iterator[pa.RecordBatch]:
+    """Whole rows of all batches, as many at a time as have at most limit bytes of text (a longer row comes alone). Where
+    one batch ends and the next begins makes no difference."""
+    held, size, n = [], 0, 0
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        total = np.zeros(batch.num_rows + 1, np.int64)
+        np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), out=total[1:])
+        at = 0
+        while at < batch.num_rows:
+            end = min(int(np.searchsorted(total, total[at] + limit - size, side="right")) - 1, at + rows - n, batch.num_rows)
+            if end <= at and held:
+                yield joined()
+                held, size, n = [], 0, 0
+                continue
+            end = max(end, at + 1)
+            held.append(batch.slice(at, end - at))
+            size, n, at = size + int(total[end] - total[at]), n + end - at, end
+    if held:
+        yield joined()
+
+
 class Words:
     """Words of a block of rows: hash, byte span, and first[row] to first[row + 1] as each row's words."""
 

@@ -8,7 +8,7 @@ import pytest
 from lattica.llm.components import components
 from lattica.llm.jaccard import jaccard_join
 from lattica.llm.recompress import anchors, remove_repeats
-from lattica.llm.words import Words, windows, words
+from lattica.llm.words import Words, blocks, windows, words
 from tests.llm import plain
 
 
@@ -23,6 +23,17 @@ def test_words_match_the_pattern():
     assert len(set(tail.tolist())) == 1
 
 
+def test_blocks_follow_rows_alone():
+    r = random.Random(3)
+    texts = ["x" * r.choice([0, 1, 5, 30, 200]) for _ in range(300)]
+    batch = pa.record_batch([pa.array(range(300)), pa.array([t or None for t in texts], pa.string())], ["i", "text"])
+    cut = lambda sizes: [batch.slice(a, n) for a, n in sizes]
+    ways = [cut([(0, 300)]), cut([(i, 1) for i in range(300)]), cut([(i, 7) for i in range(0, 294, 7)] + [(294, 6)])]
+    found = [[b.column("i").to_pylist() for b in blocks(iter(w), "text", 100, 20)] for w in ways]
+    assert found[0] == found[1] == found[2] and [i for b in found[0] for i in b] == list(range(300))
+    assert all(len(b) <= 20 and (len(b) == 1 or sum(len(texts[i]) for i in b) <= 100) for b in found[0])
+
+
 def test_equal_windows_have_equal_anchors():
     r = random.Random(4)
     shared = [r.randrange(50) for _ in range(60)]
@@ -59,6 +70,31 @@ def test_jaccard_odd_rows(spark):
     assert jaccard_join(spark.createDataFrame([], "doc_id long, text string"), 2).count() == 0
 
 
+def test_jaccard_links_through_rows_without_id(spark):
+    base = [f"w{i}" for i in range(80)]
+    other = [*base[:74], *(f"x{i}" for i in range(6))]  # 70 of 82 shared with base
+    third = [*(f"y{i}" for i in range(6)), *other[6:]]  # linked with other, not with base
+    rows = [(4, " ".join(base)), (None, " ".join(other)), (2, " ".join(third))]
+    found = [(r["doc_id"], r["component_id"]) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()]
+    sets = [plain.shingles(t) for _, t in rows]
+    link = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    assert link(0, 1) and link(1, 2) and not link(0, 2)
+    assert sorted(found, key=str) == [(2, 2), (4, 2), (None, 2)]
+
+
+def test_jaccard_of_heavy_tokens(spark, monkeypatch):
+    """Documents whose prefixes are all common, joined on tokens of two orders; and one very long text."""
+    from lattica.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "HEAVY", 2)
+    monkeypatch.setattr(jaccard, "STARS", 0)
+    r = random.Random(5)
+    common = [plain.sentence(r, "en", 6) for _ in range(9)]
+    rows = [(i, " ".join(common[k] for k in sorted(r.sample(range(9), 8)))) for i in range(40)] + [(50, "long " * 400_000 + "end"), (51, "long " * 400_000 + "end")]
+    found = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()}
+    assert found == plain.jaccard_components(rows)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_repeats_match_plain(spark, seed):
     rows = [*plain.corpus(seed), plain.corpus(seed)[3]]
