@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lattica.llm.tables import slices_for
-from lattica.llm.words import chunks, span_hashes, text_buffer, words
+from lattica.llm.tables import slices_for, small_batches
+from lattica.llm.words import blocks, span_hashes, text_buffer, words
+from lattica.llm.workers import tidy, tidy_group
 
 #: Text bytes of a block, text bytes behind a slice of the pieces, and bytes of distinct pieces replayed at once.
 BLOCK, SLICE, REPLAY = 8 << 20, 8 << 20, 1 << 20
@@ -218,6 +219,12 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
+def block_name(raw: np.ndarray, off: np.ndarray) -> bytes:
+    name = hashlib.blake2b(raw, digest_size=16)
+    name.update(np.ascontiguousarray(off).tobytes())
+    return name.digest()
+
+
 class Units:
     """A block's distinct units, dealt out to slices. Equal texts have equal units in the same order."""
 
@@ -232,9 +239,7 @@ class Units:
         self.start, self.length = starts[where[order]], (ends - starts)[where[order]]
         edge = np.flatnonzero(np.concatenate(([True], part[order][1:] != part[order][:-1], [True]))) if len(order) else np.zeros(1, np.int64)
         self.slices = list(zip(part[order][edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True))
-        name = hashlib.blake2b(self.raw, digest_size=16)
-        name.update(self.first.tobytes())
-        self.block = name.digest()
+        self.block = block_name(self.raw, text_buffer(column)[1])
 
     def strings(self, a: int, b: int) -> list[bytes]:
         return [self.raw[s : s + n].tobytes() for s, n in zip(self.start[a:b].tolist(), self.length[a:b].tolist(), strict=True)]
@@ -273,10 +278,9 @@ def _sent(path: str, pattern: str, slices: int):
     """Each block's distinct units, a row for each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text", BLOCK):
-                units = Units(codec(path, pattern), part.column("text"), slices)
-                yield _rows([(k, units.block, units.packed(a, b)) for k, a, b in units.slices])
+        for part in blocks(batches, "text", BLOCK):
+            units = Units(codec(path, pattern), part.column("text"), slices)
+            yield _rows([(k, units.block, units.packed(a, b)) for k, a, b in units.slices])
 
     return run
 
@@ -299,16 +303,15 @@ def _answered(path: str, pattern: str):
     return run
 
 
-def _texts(path: str, pattern: str):
+def _texts():
     """Each block's texts and other columns, compressed, under its name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text", BLOCK):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as out:
-                    out.write_batch(part)
-                yield _rows([(None, Units(codec(path, pattern), part.column("text"), 1).block, sink.getvalue().to_pybytes())])
+        for part in blocks(batches, "text", BLOCK):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as out:
+                out.write_batch(part)
+            yield _rows([(None, block_name(*text_buffer(part.column("text"))), sink.getvalue().to_pybytes())])
 
     return run
 
@@ -347,10 +350,10 @@ def _coded(path: str, pattern: str, slices: int, finish, schema: pa.Schema):
 
 
 def _through(docs: DataFrame, path: str, pattern: str, finish, schema: str, slices: int | None) -> DataFrame:
-    slices = slices or slices_for(docs, "text", SLICE)
-    sent = docs.select("text").mapInArrow(_sent(path, pattern, slices), _ROWS)
-    answers = sent.groupBy("slice").applyInArrow(_answered(path, pattern), _ROWS)
-    return docs.mapInArrow(_texts(path, pattern), _ROWS).unionByName(answers).groupBy("block").applyInArrow(_coded(path, pattern, slices, finish, to_arrow_schema(StructType.fromDDL(schema))), schema)
+    slices = slices or slices_for(small_batches(docs), "text", SLICE)
+    sent = docs.select("text").mapInArrow(tidy(_sent(path, pattern, slices)), _ROWS)
+    answers = sent.groupBy("slice").applyInArrow(tidy_group(_answered(path, pattern)), _ROWS)
+    return docs.mapInArrow(tidy(_texts()), _ROWS).unionByName(answers).groupBy("block").applyInArrow(tidy_group(_coded(path, pattern, slices, finish, to_arrow_schema(StructType.fromDDL(schema)))), schema)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, slices: int | None = None) -> DataFrame:

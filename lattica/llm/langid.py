@@ -18,7 +18,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.tables import small_batches
 from lattica.llm.words import chunks
+from lattica.llm.workers import tidy
 
 BUCKETS, SMOOTHING = 1 << 15, 0.1
 #: About so many labelled texts are learned from; the sample is by hash of doc_id, and all of them if there are fewer.
@@ -91,7 +93,7 @@ def fitted(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.nda
     if total > fit_rows:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * fit_rows / total))
     sample = rows.select("lang", "text").repartition(16)
-    counts = sample.mapInArrow(_counted, "lang string, counts binary").groupBy("lang").applyInPandas(_summed, "lang string, counts binary")
+    counts = sample.mapInArrow(tidy(_counted), "lang string, counts binary").groupBy("lang").applyInPandas(_summed, "lang string, counts binary")
     found = sorted((r["lang"], np.frombuffer(r["counts"], "<i8")) for r in counts.collect())
     if len(found) * BUCKETS * 4 > MOST_MATRIX:
         raise ValueError(f"{len(found)} languages need a matrix beyond {MOST_MATRIX} bytes")
@@ -106,7 +108,7 @@ def identified(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     posterior probability of lang_pred times the share of the text's n-grams seen in that language. Ties go to the
     first language in order. A null doc_id isn't learned from, and isn't held out. Repeated rows count each.
     """
-    names, counts = fitted(docs, fit_rows)
+    names, counts = fitted(small_batches(docs), fit_rows)
     logs = np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * BUCKETS)).astype(np.float32) if names else None
     shared = docs.sparkSession.sparkContext.broadcast((names, logs, counts > 0))
     own = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
@@ -131,4 +133,4 @@ def identified(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pred, pa.array(score)], [*part.schema.names, "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields), "lang_pred string, score double"])
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)

@@ -20,8 +20,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.tables import settled, shared_dir
+from lattica.llm.tables import settled, shared_dir, small_batches
 from lattica.llm.words import chunks
+from lattica.llm.workers import tidy
 
 #: Samples in a row of the image; payloads are padded to a multiple of it.
 WIDTH, PAD = 576, 255
@@ -113,7 +114,7 @@ def stored(docs: DataFrame, folder: str | None = None) -> DataFrame:
     pyarrow can open on driver and executors. A task that runs again writes shards of its own; rows name the shards of
     the run that counted, since they are written to the shared folder too before they are used.
     """
-    root = folder or f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
+    root = folder or f"{shared_dir(small_batches(docs).sparkSession)}/media-{uuid.uuid4().hex}"
     root = root if "://" in root or root.startswith("file:") else f"file://{root}"
     names = [c for c in docs.columns if c not in ("text", "n_bytes", "shard", "media_sha256", "media_offset", "media_bytes")]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "n_bytes long, shard string, media_sha256 string, media_offset long, media_bytes long"])
@@ -139,7 +140,7 @@ def stored(docs: DataFrame, folder: str | None = None) -> DataFrame:
             shard.close()
             yield from waiting
 
-    rows = settled(docs.select(*names, F.col("text").cast("string").cast("binary").alias("raw")).mapInArrow(run, schema), "media-index")
+    rows = settled(docs.select(*names, F.col("text").cast("string").cast("binary").alias("raw")).mapInArrow(tidy(run), schema), "media-index")
     return rows.withColumn("shard", F.concat(F.lit(root.rstrip("/") + "/"), "shard"))
 
 
@@ -181,4 +182,4 @@ def with_features(index: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], [*part.schema.names, *names])
 
-    return index.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema.fields), "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"]))
+    return index.mapInArrow(tidy(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema.fields), "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"]))

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.llm.interned import Interned
-from lattica.llm.tables import settled
+from lattica.llm.tables import settled, small_batches
 from lattica.llm.words import LOWER, chunks, span_hashes, words
+from lattica.llm.workers import tidy
 
 CAPACITY = 2048
 #: Parts of the capacity from which on lengths count as large: each is planned for, and the plan of fewest sequences kept.
@@ -323,7 +324,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return typed.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return typed.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def ranked(items: DataFrame, total: int) -> DataFrame:
@@ -361,6 +362,6 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     tokenizers file that every executor can read, of a tokenizer that drops white space; strings of its special tokens
     are those tokens, as the tokenizer has it.
     """
-    items = settled(pieces(docs, path, capacity), "pieces")
+    items = settled(pieces(small_batches(docs), path, capacity), "pieces")
     counts = {r["length"]: r["count"] for r in items.groupBy("length").count().collect()}  # at most `capacity` rows
     return placed(ranked(items, sum(counts.values())), plan(counts, capacity))

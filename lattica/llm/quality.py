@@ -103,12 +103,8 @@ def judged(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines", "base_failed", "kept", "w", "lines", "sorted", "spots"]
     rows = measured(docs.drop(*own))
-    counts = rows.select("lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines", "base_failed")
-    if keep_text:  # texts are measured again rather than stored again
-        limits = thresholds(settled(counts, "measured"))
-    else:
-        rows = settled(rows.drop("text"), "measured")
-        limits = thresholds(rows)
+    rows = settled(rows if keep_text else rows.drop("text"), "measured")  # so that texts are measured once
+    limits = thresholds(rows)
     limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(F.col(m).alias(f"_{m}") for m in MEASURES))
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     fine = F.lit(True)

@@ -22,8 +22,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.tables import settled, slices_for
-from lattica.llm.words import _power, chunks, mix, pack, unpack, windows, words
+from lattica.llm.tables import settled, slices_for, small_batches
+from lattica.llm.words import _power, blocks, chunks, mix, pack, unpack, windows, words
+from lattica.llm.workers import tidy, tidy_group
 
 WINDOW, ROUNDS = 35, 8
 #: Text bytes of one block of the exchange, and text bytes behind one slice of the anchor space.
@@ -102,9 +103,8 @@ def _emit(part: pa.RecordBatch, slices: int) -> pa.RecordBatch:
 
 def _window_blocks(slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text", BLOCK):
-                yield _emit(part, slices)
+        for part in blocks(batches, "text", BLOCK):
+            yield _emit(part, slices)
 
     return run
 
@@ -214,9 +214,9 @@ def _kept(mode: str):
 def repeated_spans(keyed: DataFrame, slices: int | None = None) -> DataFrame:
     """(key, spans) for those rows of keyed(key binary, text) with words in a repeated window: spans are int64 pairs."""
     slices = slices or slices_for(keyed, "text", SLICE)
-    blocks = keyed.mapInArrow(_window_blocks(slices), _EXCHANGED)
-    blocks = blocks.groupBy("slice").applyInPandas(_repeated, "block binary, kind int, payload binary")
-    return blocks.groupBy("block").applyInPandas(_spans, "key binary, spans binary")
+    blocks = keyed.mapInArrow(tidy(_window_blocks(slices)), _EXCHANGED)
+    blocks = blocks.groupBy("slice").applyInPandas(tidy_group(_repeated), "block binary, kind int, payload binary")
+    return blocks.groupBy("block").applyInPandas(tidy_group(_spans), "key binary, spans binary")
 
 
 def remove_repeats(docs: DataFrame, mode: str = "space") -> DataFrame:
@@ -228,7 +228,7 @@ def remove_repeats(docs: DataFrame, mode: str = "space") -> DataFrame:
     replacing columns of these names; other columns are kept. A null text stays null, with no words. Equal rows get
     equal results, and are each other's repeats. Row order and ids play no part.
     """
-    docs = docs.drop("n_words", "n_removed", "key", "spans").withColumn("text", F.col("text").cast("string"))
+    docs = small_batches(docs).drop("n_words", "n_removed", "key", "spans").withColumn("text", F.col("text").cast("string"))
     key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.lit(":"), F.coalesce("text", F.lit("")))))
     keyed = docs.withColumn("key", key)
     spans = settled(repeated_spans(keyed.select("key", "text")), "spans")
@@ -236,4 +236,4 @@ def remove_repeats(docs: DataFrame, mode: str = "space") -> DataFrame:
     joined = keyed.join(spans, "key", "left")
     names = [c for c in docs.columns if c != "text"]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "text string, n_words long, n_removed long"])
-    return joined.select(*names, "text", "key", "spans").mapInArrow(_kept(mode), schema).select(*docs.columns, "n_words", "n_removed")
+    return joined.select(*names, "text", "key", "spans").mapInArrow(tidy(_kept(mode)), schema).select(*docs.columns, "n_words", "n_removed")

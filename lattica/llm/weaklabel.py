@@ -17,7 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.tables import small_batches
 from lattica.llm.words import Words, chunks, mix, words
+from lattica.llm.workers import tidy
 
 CHUNK = 1 << 20
 BUCKETS = 1 << 15
@@ -176,8 +178,8 @@ def classified(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     texts there is nothing to learn and nothing to return. Labels aren't read.
     """
     own = [c for c in docs.columns if c not in ("posterior", "score", "kept")]
-    base = docs.select(*own).withColumn("text", F.col("text").cast("string"))
-    seen = base.select("text").mapInArrow(_patterned, "pattern long").groupBy("pattern").count().collect()  # at most 3 ** 5 rows
+    base = small_batches(docs).select(*own).withColumn("text", F.col("text").cast("string"))
+    seen = base.select("text").mapInArrow(tidy(_patterned), "pattern long").groupBy("pattern").count().collect()  # at most 3 ** 5 rows
     pattern = np.array([r["pattern"] for r in seen], np.int64)
     count = np.array([r["count"] for r in seen], float)
     posterior = dict(zip(pattern.tolist(), expectation_maximisation(pattern, count)[0].tolist(), strict=True)) if len(seen) else {}
@@ -201,4 +203,4 @@ def classified(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64()), pa.array(score), pa.array(score >= 0.5)], [*part.schema.names, "posterior", "score", "kept"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields), "posterior double, score double, kept boolean"])
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)

@@ -61,7 +61,7 @@ def test_bpe_without_answers(spark, reference):
     docs = spark.createDataFrame([(1, "some words here"), (2, None)], "doc_id long, text string")
     path, pattern, schema = RANKS, public_tokenizers.PATTERN, "doc_id long, n long"
     finish = lambda batch, ids, counts, data, sizes: pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64())], ["doc_id", "n"])
-    blocks = docs.mapInArrow(bpe._texts(path, pattern), bpe._ROWS).groupBy("block")
+    blocks = docs.mapInArrow(bpe._texts(), bpe._ROWS).groupBy("block")
     out = blocks.applyInArrow(bpe._coded(path, pattern, 3, finish, pa.schema([("doc_id", pa.int64()), ("n", pa.int64())])), schema).collect()
     assert {r["doc_id"]: r["n"] for r in out} == {1: len(reference.encode_ordinary("some words here")), 2: 0}
 
