@@ -4,6 +4,8 @@ A page is cut into blocks of running text, each with the elements around it. A l
 for being called content and one for being called boilerplate: its capacities to the two terminals. Edges join blocks
 that follow each other, and blocks that follow each other in one container, the heavier the deeper their common container
 lies under the body. The minimum cut is the labelling of least total cost; blocks on the source's side are the main text.
+The classifier alone is sure of blocks in marked elements and of long sentences; of short ones, headings and lists outside
+an article it isn't, and there the edges decide.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.tables import small_batches
+from lattica.llm.workers import tidy
+
 #: Elements whose text is never shown as running text.
 HIDDEN = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea|title"
 #: Elements that begin and end a block of text.
@@ -24,18 +29,18 @@ BLOCKS = frozenset("address article aside blockquote body button caption center
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements, and words of a class, an id or a role, that mark what isn't the article.
 BOILERPLATE = frozenset("nav footer aside form menu button dialog fieldset head search".split())
-MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline caption comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus feedback footer footnav form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notification notifications overlay pager pagination popup promo promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toc toolbar topbar tracking warning widget alert complementary contentinfo".split()) - {"caption", "byline", "header", "warning"}
+MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus feedback footer footnav form gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notification notifications overlay pager pagination popup promo promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toc toolbar topbar tracking widget alert complementary contentinfo".split())
 MAIN = frozenset("article main".split())
 MAIN_MARKS = frozenset("article articlebody content entry main post story".split())
-_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S | re.I)
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:svg|math)\b[^>]*/>|<({HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S | re.I)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _STOP = re.compile(r"[.!?…。！？][\"'”’)\]]*(?:\s|$)")
 
 #: Weights in whole numbers, so that cuts are exact.
-BIAS, IN_MAIN, MARKED, HEADING, PARAGRAPH, PER_WORDS, SENTENCE, LINKED, LISTED = 2, 14, 40, 4, 3, 4, 3, 14, 2
-FOLLOWS, TOGETHER = 2, 2
+BIAS, IN_MAIN, MARKED, HEADING, PARAGRAPH, PER_WORDS, SENTENCE, LINKED, LISTED = 3, 12, 40, 4, 3, 4, 3, 14, 2
+FOLLOWS, TOGETHER = 2, 3
 
 
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -88,6 +93,7 @@ def blocks(page: str) -> list[Block]:
     """Blocks with text, in page order; character references are decoded and white space is single spaces."""
     out: list[Block] = []
     stack: list[Open] = []
+    walls: list[int] = []  # places in the stack of elements that bound blocks
     names: Counter[str] = Counter()  # of the open elements
     block, number, at = None, 0, 0
 
@@ -121,6 +127,7 @@ def blocks(page: str) -> list[Block]:
                 names[gone] -= 1
                 if gone in BLOCKS:
                     block = None
+                    walls.pop()
                 if gone == name:
                     break
             if name in BLOCKS:
@@ -129,16 +136,14 @@ def blocks(page: str) -> list[Block]:
             if name in BLOCKS:
                 block = None
                 closes = {"p"} if name not in ("li", "dt", "dd", "option", "tr", "td", "th") else {name, "p"}
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].name in closes:
-                        names.subtract(x.name for x in stack[i:])
-                        del stack[i:]
-                    elif stack[i].name in BLOCKS:
-                        break
-            if len(stack) < 400:
-                number += 1
-                stack.append(Open(name, m[4], stack[-1] if stack else None, number))
-                names[name] += 1
+                while walls and stack[walls[-1]].name in closes:
+                    i = walls.pop()
+                    names.subtract(x.name for x in stack[i:])
+                    del stack[i:]
+                walls.append(len(stack))
+            number += 1
+            stack.append(Open(name, m[4], stack[-1] if stack else None, number))
+            names[name] += 1
     text(page[at:])
     for b in out:
         joined = "".join(b.parts)
@@ -219,11 +224,8 @@ def minimum_cut(good: list[int], bad: list[int], edges: list[tuple[int, int, int
     return [i in seen if s is None else s for i, s in enumerate(side)]
 
 
-def main_text(page: str | None) -> str:
-    """The page's main text: its content blocks, joined by line feeds. Null, empty and textless pages give ""."""
-    found = blocks(page or "")
-    if not found:
-        return ""
+def network(found: list[Block]) -> tuple[list[int], list[int], list[tuple[int, int, int]]]:
+    """Capacities from the source, to the sink, and between blocks."""
     priced = [costs(b) for b in found]
     edges = [(i, i + 1, FOLLOWS) for i in range(len(found) - 1)]
     last: dict[int, int] = {}
@@ -231,23 +233,45 @@ def main_text(page: str | None) -> str:
         if b.container in last:
             edges.append((last[b.container], i, TOGETHER + min(3, b.depth)))
         last[b.container] = i
-    keep = minimum_cut([g for g, _ in priced], [b for _, b in priced], edges)
+    return [g for g, _ in priced], [b for _, b in priced], edges
+
+
+def labelled(page: str | None) -> tuple[list[Block], list[bool], int]:
+    """A page's blocks, which of them are content, and how many the cut labels unlike the classifier by itself."""
+    found = blocks(page or "")
+    good, bad, edges = network(found)
+    keep = minimum_cut(good, bad, edges)
+    return found, keep, sum(k != (g > b) for k, g, b in zip(keep, good, bad, strict=True))
+
+
+def main_text(page: str | None) -> str:
+    """The page's main text: its content blocks, joined by line feeds. Null, empty and textless pages give ""."""
+    found, keep, _ = labelled(page)
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """pages(html, ...) without html, with text and n_chars, its code points; columns of these names are replaced.
+    """pages(html, ...) without html, with text, n_chars (its code points), n_blocks, and n_turned: how many blocks the
+    cut labelled unlike the classifier by itself. Columns of these names are replaced.
 
-    Every row is taken by itself, so repeated rows get equal results, and null ids and urls are kept as they are.
+    Every row is taken by itself, so repeated rows get equal results, and null ids and urls are kept as they are. A null
+    or empty page has an empty text. A page of any length and depth is taken whole. Of labellings that cost the same,
+    the one with the fewest content blocks is taken. An empty table gives an empty one.
     """
-    names = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
-    schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in names), "text string, n_chars long"])
+    own = ["text", "n_chars", "n_blocks", "n_turned"]
+    names = [c for c in pages.columns if c not in ("html", *own)]
+    schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in names), "text string, n_chars long, n_blocks int, n_turned int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [main_text(x.as_py()) for x in part.column("html")]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*names, "text", "n_chars"])
-
-    return pages.select(*names, F.col("html").cast("string").alias("html")).mapInArrow(run, schema)
+                rows = []
+                for x in part.column("html"):
+                    found, keep, turned = labelled(x.as_py())
+                    text = "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
+                    rows.append((text, len(text), len(found), turned))
+                kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], [*names, *own])
+
+    return small_batches(pages).select(*names, F.col("html").cast("string").alias("html")).mapInArrow(tidy(run), schema)
