@@ -44,22 +44,33 @@ def explicit_rule(host: Column, path: Column, rules=EXPLICIT) -> Column:
 
 
 def tokens_of(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: scheme, host labels, path segments with digits masked, names of query fields."""
+    """Distinct tokens: scheme, host labels and words of path segments, parted at hyphens and the like, with digits masked;
+    names of query fields."""
     scheme = F.regexp_extract(url, r"^([^:/?#]*)://", 1)
-    segments = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "0"), "/"), lambda x: x != "")
+    segments = F.filter(F.split(F.lower(F.regexp_replace(path, "[0-9]+", "0")), "[-/_.~+,;:!]"), lambda x: x != "")
     fields = F.regexp_extract_all(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), F.lit("([^=&]+)"), F.lit(1))
     named = lambda kind, xs: F.transform(xs, lambda x: F.concat(F.lit(kind), x))
-    every = F.concat(F.array(F.concat(F.lit("scheme:"), scheme)), named("host:", F.filter(F.split(host, r"\."), lambda x: x != "")), named("path:", segments), named("field:", F.transform(fields, lambda x: F.regexp_replace(x, "[0-9]+", "0"))))
+    every = F.concat(F.array(F.concat(F.lit("scheme:"), scheme)), named("host:", F.filter(F.split(host, "[-_.]"), lambda x: x != "")), named("path:", segments), named("field:", F.transform(fields, lambda x: F.regexp_replace(x, "[0-9]+", "0"))))
     return F.array_distinct(F.coalesce(every, F.array().cast("array<string>")))
 
 
+def merged_items(transactions: DataFrame) -> DataFrame:
+    """transactions(id, items) with one item in place of all that occur in the very same transactions, the first of them
+    in order. A URL template of many words is one item then, and not two to the power of their number of sets."""
+    each = transactions.select("id", F.explode("items").alias("item"))
+    where = each.groupBy("item").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(38,0)")).alias("g"))
+    shown = where.groupBy("n", "h", "g").agg(F.max(F.col("item") == BAD).alias("bad"), F.min(F.when(F.col("item") != BAD, F.col("item"))).alias("first"))
+    named = where.join(shown, ["n", "h", "g"]).select("item", F.when(F.col("item") == BAD, F.col("item")).otherwise(F.col("first")).alias("name"))
+    return each.join(named, "item").groupBy("id").agg(F.collect_set("name").alias("items"))
+
+
 def mined_rules(transactions: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, lift: float = MIN_LIFT) -> DataFrame:
-    """(tokens, support, confidence) of the rules that imply BAD, from transactions(items); subsumed ones are pruned.
+    """(tokens, support, confidence) of the rules that imply BAD, from transactions(id, items); subsumed ones are pruned.
 
     A frequent token occurs in at least a share `support` of the transactions, so there are at most (tokens of the
     average transaction) / support of them, whatever the size of the input.
     """
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(transactions)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(merged_items(transactions))
     found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.col("lift") >= lift))
     p, n = F.col("confidence"), F.round(F.col("support") * transactions.count() / F.col("confidence"))
     lower = (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
@@ -84,7 +95,9 @@ def judged_urls(pages: DataFrame, labels: DataFrame, explicit=EXPLICIT, support:
 
     labels(doc_id, quality, toxic) label the page of that page_id: bad if of quality 0 or toxic. A null or odd url has
     an empty host and path, no rule, and is allowed. Null labels and labels of no page teach nothing; a page with
-    several label rows counts once for each. Repeated rows get equal verdicts. Without labels nothing is mined.
+    several label rows counts once for each. Repeated rows get equal verdicts. Without labels nothing is mined, and an
+    empty table gives an empty one. A url of any length is read whole. Of several rules that fit, the one of most
+    confidence, then support, then the last in order of its tokens is named.
     """
     url = F.col("url").cast("string")
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "matched", "confidence", "_tokens", "_found")]
@@ -94,7 +107,7 @@ def judged_urls(pages: DataFrame, labels: DataFrame, explicit=EXPLICIT, support:
     known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     taught = base.where("url is not null").select("page_id", "_tokens").join(known, "page_id")
     items = F.when(F.col("bad"), F.concat("_tokens", F.array(F.lit(BAD)))).otherwise(F.col("_tokens"))
-    taught = settled(taught.select(items.alias("items")).where("size(items) > 0"), "transactions")
+    taught = settled(taught.select(F.expr("uuid()").alias("id"), items.alias("items")).where("size(items) > 0"), "transactions")
     index = inverted_index(mined_rules(taught, support, confidence, lift), taught)
     index = settled(index, "index")
     hits = base.select("url", "_tokens", F.explode("_tokens").alias("token")).join(index, "token").where(F.size(F.array_except("tokens", "_tokens")) == 0)
