@@ -105,7 +105,7 @@ def _emit(docs: list, slices: int, place: bytes) -> pa.RecordBatch:
     row = np.concatenate([d[1] + b for d, b in zip(docs, base, strict=False)])
     h = np.concatenate([d[2] for d in docs])
     sink = pa.BufferOutputStream()
-    header = pa.record_batch([ids, pa.array(size), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64))], ["doc_id", "n", "d1", "d2"])
+    header = pa.record_batch([ids, pa.array(size), pa.array(list(map(bytes, digest)), pa.binary())], ["doc_id", "n", "cls"])
     with pa.ipc.new_stream(sink, header.schema) as out:
         out.write_batch(header)
     raw = sink.getvalue().to_pybytes()
@@ -182,7 +182,7 @@ def _shared_tokens(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([out, pd.DataFrame(replies, columns=["block", "kind", "payload"])])
 
 
-_DOCS = "doc_id long, n long, d1 long, d2 long, weight int, tokens array<long>, first array<long>, second array<int>, third array<int>"
+_DOCS = "doc_id long, n long, cls binary, weight int, tokens array<long>, first array<long>, second array<int>, third array<int>"
 
 
 def _documents(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -224,7 +224,7 @@ def _documents(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
                 out[name][i] = value[end[i] - size[i] : end[i] - size[i] + prefix[i]]
                 if k == 0:
                     out["tokens"][i] = value[end[i] - size[i] : end[i]]
-    frame = pd.DataFrame({c: head.column(c).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get) for c in ("doc_id", "n", "d1", "d2")})
+    frame = pd.DataFrame({c: head.column(c).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get) for c in ("doc_id", "n", "cls")})
     return frame.assign(weight=weight, **out)
 
 
@@ -241,14 +241,14 @@ def _star_pairs(entries: DataFrame, k: int) -> DataFrame:
     """At most two pairs (a, b) for each document a. Each token's centres are its document with the commonest tokens in
     round 0, which is the hub of a family of near copies, else its least in the k-th order of classes; and its greatest
     in that order. b is the centre of either kind, in another component, with which a shares most prefix tokens."""
-    turned = F.concat(F.substring("cls", 1 + 8 * k, 32), F.substring("cls", 1, 8 * k), F.col("of"))
-    heavy = F.concat(F.lpad(F.col("weight").cast("string"), 8, "0"), turned)
-    one = F.substring(F.max(heavy), 9, 64) if k == 0 else F.min(turned)
+    turned = F.concat(F.substring("cls", 1 + 4 * k, 16), F.substring("cls", 1, 4 * k), F.col("of"))  # 16 bytes each
+    heavy = F.concat(F.lpad(F.col("weight").cast("string"), 8, "0").cast("binary"), turned)
+    one = F.substring(F.max(heavy), 9, 32) if k == 0 else F.min(turned)
     tokens = entries.groupBy("token").agg(one.alias("one"), F.max(turned).alias("two"))
     met = entries.join(tokens, "token")
-    side = lambda c: met.where(F.substring(c, 33, 32) != F.col("of")).select("cls", F.substring(c, 1, 32).alias("c")).groupBy("cls", "c").count()
+    side = lambda c: met.where(F.substring(c, 17, 16) != F.col("of")).select("cls", F.substring(c, 1, 16).alias("c")).groupBy("cls", "c").count()
     best = [side(c).groupBy("cls").agg(F.max(F.struct("count", "c"))["c"].alias("c")) for c in ("one", "two")]
-    back = F.concat(F.substring("c", 33 - 8 * k, 32), F.substring("c", 1, 32 - 8 * k))
+    back = F.concat(F.substring("c", 17 - 4 * k, 16), F.substring("c", 1, 16 - 4 * k))
     return best[0].unionByName(best[1]).select(F.col("cls").alias("a"), back.alias("b")).distinct()
 
 
@@ -270,8 +270,8 @@ def jaccard_join(docs: DataFrame, slices: int | None = None) -> DataFrame:
     slices = slices or slices_for(texts, "text", SLICE)
     blocks = texts.mapInArrow(tidy(_token_blocks(slices)), _EXCHANGED)
     blocks = blocks.groupBy("slice").applyInPandas(tidy_group(_shared_tokens), "block binary, kind int, payload binary")
-    found = blocks.groupBy("block").applyInPandas(tidy_group(_documents), _DOCS).withColumn("cls", F.concat(F.hex("d1"), F.hex("d2"))).drop("d1", "d2")
-    found = settled(found, "sets")
+    found = blocks.groupBy("block").applyInPandas(tidy_group(_documents), _DOCS)
+    found = settled(found, "sets")  # cls is the set's digest, 16 bytes
     sets = found.where("tokens is not null").groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "weight", "tokens", "first", "second", "third")))
     sets, heads = settled(sets, "classes"), settled(found.select("doc_id", "n", "cls"), "heads")
     discard(found)
