@@ -133,7 +133,7 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 s AS (SELECT lang, source, 'symbols' AS measure, 10 AS slack, symbols AS bin FROM b WHERE NOT base_failed
   UNION ALL SELECT lang, source, 'upper', 50, upper_ FROM b WHERE NOT base_failed
   UNION ALL SELECT lang, source, 'dup_lines', 100, dup_lines FROM b WHERE NOT base_failed
-  UNION ALL SELECT lang, source, 'repeats', 125, repeats FROM b WHERE NOT base_failed),
+  UNION ALL SELECT lang, source, 'repeats', 75, repeats FROM b WHERE NOT base_failed),
 own AS (SELECT lang, source, measure, slack, count(*) AS total, quantile_disc(bin, 0.5) AS mid, quantile_disc(bin, 0.1) AS low FROM s GROUP BY ALL),
 whole AS (SELECT measure, quantile_disc(bin, 0.5) AS mid, quantile_disc(bin, 0.1) AS low FROM s GROUP BY ALL),
 t AS (SELECT lang, source, measure, CASE WHEN total < 30 THEN whole.mid + 4 * greatest(whole.mid - whole.low, slack) ELSE own.mid + 4 * greatest(own.mid - own.low, slack) END AS lim
