@@ -18,16 +18,16 @@ def source_value(source: str) -> Column:
 
 def style_patches(nodes: DataFrame, rules: tuple[vocab.Rule, ...]) -> DataFrame:
     """(ref, color, size, brightness, dashed, provenance_badge): rules in order, a later one over an earlier one. A
-    colour is that of the node's community, or of the rule's role, or of the node's first role."""
+    colour is that of the node's community; of its own first role, for the source prop:roles; else of the rule's role."""
     color, size, bright = (F.lit(None).cast(t) for t in ("string", "double", "double"))
     for rule in rules:
         value = source_value(rule.source)
         if rule.channel == "color":
             if rule.source == "community":
-                new = F.when(F.col("community").isNotNull(), community_color(F.col("community")))
+                new = F.when(F.coalesce(F.col("community"), F.lit("")) != "", community_color(F.col("community")))
             else:
-                role = F.lit(rule.role) if rule.role else F.try_element_at(F.col("roles"), F.lit(1))
-                new = F.when(role.isNotNull(), F.concat(F.lit("var(--fx-role-"), role, F.lit(")")))
+                role = F.try_element_at(F.col("roles"), F.lit(1)) if rule.source == "prop:roles" else F.lit(rule.role).cast("string")
+                new = F.when(F.coalesce(role, F.lit("")) != "", F.concat(F.lit("var(--fx-role-"), role, F.lit(")")))
             color = F.coalesce(new, color)
         elif rule.channel == "size":
             size = F.coalesce(F.when(value.isNotNull(), scalars.size_of(value)), size)

@@ -32,12 +32,13 @@ def _keys(nodes: DataFrame, props: list[str]) -> DataFrame:
 
 
 def country_index(nodes: DataFrame) -> DataFrame:
-    """(key, target): countries by id, label, name and codes, the last node winning; then by the fixed two-letter codes
-    of countries so named, where no node has the code itself."""
-    own = _keys(nodes.where("kind = 'Country'"), ["name", "iso3", "iso2"]).groupBy("key").agg(F.max_by("id", "ord").alias("target"))
-    codes = nodes.sparkSession.createDataFrame(list(COUNTRY_CODES.items()), "code string, name string")
-    more = F.broadcast(codes).join(own, F.col("name") == F.col("key")).select(F.col("code").alias("key"), "target")
-    return own.unionByName(more.join(own.select("key"), "key", "left_anti"))
+    """(key, target): countries by id, label, name and codes, and by the fixed two-letter codes of what their name, or
+    else their label, says; the last node that has a key wins, however it has it."""
+    countries = nodes.where("kind = 'Country'")
+    codes = nodes.sparkSession.createDataFrame(list(COUNTRY_CODES.items()), "key string, named string")
+    named = countries.select("id", "ord", match_key(F.coalesce(F.col("props")["name"], F.col("label"))).alias("named"))
+    more = named.join(F.broadcast(codes), "named").select("id", "ord", "key")  # a fixed table
+    return _keys(countries, ["name", "iso3", "iso2"]).unionByName(more, allowMissingColumns=True).groupBy("key").agg(F.max_by("id", "ord").alias("target"))
 
 
 def currency_index(nodes: DataFrame) -> DataFrame:

@@ -196,7 +196,7 @@ def _faulty(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "payload_violations",
-    """WITH c AS (SELECT c_custkey AS c, c_name, CASE WHEN c_custkey % 50 = 0 THEN 'member' ELSE 'institution' END AS kind FROM customer WHERE c_custkey <= 1400),
+    """WITH c AS (SELECT c_custkey AS c, c_name, CASE WHEN c_custkey % 50 = 0 THEN 'member' ELSE 'institution' END AS kind FROM customer),
   n AS (SELECT *, kind || ':' || CASE WHEN c % 90 = 0 THEN c - 1 ELSE c END AS id FROM c), d AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c) AS k FROM n),
   e AS (SELECT o_orderkey AS o, 'e' || CASE WHEN o_orderkey % 200 = 0 THEN o_orderkey - 1 ELSE o_orderkey END AS id, CASE WHEN o_custkey % 50 = 0 THEN 'member:' ELSE 'institution:' END || o_custkey AS source FROM orders),
   f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o) AS k FROM e)
@@ -275,6 +275,27 @@ def kind_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return communities.kind_communities(Graph(g.nodes.withColumn("kind", F.lit("Country")), sparse_graph(spark, sf_dir).edges))
 
 
+@query("role_styles", """SELECT 'r' || n_nationkey AS ref, CASE WHEN n_nationkey % 5 = 0 THEN 'var(--fx-role-money)' WHEN n_nationkey % 5 = 1 THEN 'var(--fx-role-flow)' END AS own,
+  CASE WHEN n_nationkey % 4 = 0 THEN """ + f"{_PALETTE}[({_HASH.format(chr(39) + 'community:v7-' + chr(39) + ' || n_regionkey')} % 10 + 1)::INTEGER]" + """ ELSE 'var(--fx-role-topology)' END AS over FROM nation""")
+def role_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of the source prop:roles, whose own role is passed over; and communities, empty ones too, over a rule's role."""
+    n = F.col("n_nationkey")
+    roles = F.when(n % 5 == 0, F.array(F.lit("money"), F.lit("flow"))).when(n % 5 == 1, F.array(F.lit("flow"))).when(n % 5 == 2, F.array(F.lit(""))).when(n % 5 == 3, F.array().cast("array<string>"))
+    community = F.when(n % 4 == 0, F.concat(F.lit("community:v7-"), F.col("n_regionkey").cast("string"))).when(n % 4 == 1, "")
+    nodes = table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), n.cast("string")).alias("id"), roles.alias("roles"), community.alias("community"), F.lit("real").alias("provenance"), F.create_map().cast("map<string,double>").alias("measures"))
+    own = styles.style_patches(nodes, (vocab.Rule("prop:roles", "color", "topology"),)).select("ref", F.col("color").alias("own"))
+    over = styles.style_patches(nodes, (vocab.Rule("degree", "color", "topology"), vocab.Rule("community", "color"))).select("ref", F.col("color").alias("over"))
+    return own.join(over, "ref")
+
+
+@query("country_keys", "SELECT * FROM (VALUES ('bundesrepublik', '1'), ('germany', '1'), ('1', '1'), ('us', '3'), ('united states of america', '3'), ('2', '2'), ('usa', '2'), ('3', '3'), ('4', '4'), ('japan', '4'), ('jp', '4'), ('nippon', '4')) AS v(key, target)")
+def country_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Countries whose label isn't their name, and a later one that takes an earlier one's code."""
+    rows = [("1", "Germany", {"name": "Bundesrepublik"}, 1), ("2", "USA", {"iso2": "us"}, 2), ("3", "United States of America", {}, 3), ("4", "Nippon", {"name": "Japan"}, 4)]
+    nodes = spark.createDataFrame(rows, "id string, label string, props map<string,string>, ord long").withColumn("kind", F.lit("Country"))
+    return synthesis.country_index(nodes)
+
+
 @query("partition_stats")
 def partition_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return communities.partition_stats(communities.partition(sparse_graph(spark, sf_dir)))
@@ -337,16 +358,18 @@ def triangular_arbitrage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.array_join("nodes", ">").alias("path"), *_six("total_weight", "gain"))
 
 
-@query("coreness")
+_PEELED = """p AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM {0} WHERE source != target), both_ AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+  peel AS (SELECT n_nationkey::VARCHAR AS id, k::INTEGER AS k, 0 AS step FROM nation, range(0, 26) r(k)
+    UNION ALL SELECT id, k, step FROM (SELECT x.id, x.k, x.step + 1 AS step, (SELECT count(*) FROM both_ JOIN peel y ON y.id = both_.b AND y.k = x.k WHERE both_.a = x.id) AS d FROM peel x WHERE x.step < 26) WHERE d >= k),
+  cores AS (SELECT id, max(k)::INTEGER AS core FROM peel WHERE step = 26 GROUP BY id)"""
+
+
+@query("coreness", f"WITH RECURSIVE {_SPARSE}, {_PEELED.format('sparse')} SELECT id, core FROM cores")
 def coreness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return communities.coreness(sparse_graph(spark, sf_dir))
 
 
-@query(
-    "core_periphery",
-    f"""WITH RECURSIVE {_TRADE}, p AS (SELECT DISTINCT source AS a, target AS b FROM edges WHERE source != target UNION SELECT target, source FROM edges WHERE source != target), d AS (SELECT n_nationkey::VARCHAR AS id, (SELECT count(*) FROM p WHERE a = n_nationkey::VARCHAR) AS k FROM nation)
-  SELECT id, CASE WHEN k > 0 THEN '#ad5700' ELSE '#546cb7' END AS color FROM d WHERE (SELECT min(k) FROM d) = 24""",
-)
+@query("core_periphery", f"WITH RECURSIVE {_TRADE}, {_PEELED.format('edges')} SELECT id, CASE WHEN core >= greatest(2, ceil((SELECT max(core) FROM cores) * 0.6)) THEN '{vocab.CORE['dark']}' ELSE '{vocab.PERIPHERY['dark']}' END AS color FROM cores")
 def core_periphery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return communities.core_periphery(communities.coreness(nation_graph(spark, sf_dir))).select("id", "color")
 
@@ -472,7 +495,19 @@ def throttle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.folded(_moments(spark, sf_dir), "user_id", machines.throttle(3_600_000)).select("user_id", "t")
 
 
-@query("tap_classes")
+@query(
+    "tap_classes",
+    """WITH RECURSIVE e AS (SELECT user_id, (epoch_us(ts) // 1000)::DOUBLE AS t, event_id, value AS x FROM events),
+  a AS (SELECT user_id, t, event_id * 2 AS seq, 'down' AS action, x FROM e UNION ALL SELECT user_id, t + event_id % 700, event_id * 2 + 1, 'up', x FROM e),
+  o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, seq) AS i FROM a),
+  s AS (SELECT user_id, t, i, CASE WHEN action = 'down' THEN x END AS down_x, CASE WHEN action = 'down' THEN t END AS down_t, NULL::DOUBLE AS last_x, NULL::DOUBLE AS last_t, NULL::VARCHAR AS outcome FROM o WHERE i = 1
+    UNION ALL SELECT user_id, t, i, CASE WHEN action = 'down' THEN x END, CASE WHEN action = 'down' THEN t END,
+      CASE WHEN what = 'tap' THEN x WHEN what = 'double' THEN NULL ELSE last_x END, CASE WHEN what = 'tap' THEN t WHEN what = 'double' THEN NULL ELSE last_t END, what
+    FROM (SELECT o.user_id, o.t, o.i, o.action, o.x, s.last_x, s.last_t, CASE WHEN o.action = 'down' OR s.down_t IS NULL OR o.t - s.down_t > 500 THEN NULL
+        WHEN s.last_t IS NOT NULL AND o.t - s.last_t <= 300 AND 2 * (o.x - s.last_x) ** 2 <= 256 THEN 'double' ELSE 'tap' END AS what
+      FROM s JOIN o ON o.user_id = s.user_id AND o.i = s.i + 1))
+  SELECT user_id, t, outcome FROM s WHERE outcome IS NOT NULL""",
+)
 def tap_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _moments(spark, sf_dir).withColumn("x", F.col("value")).withColumn("y", F.col("value"))
     down = e.withColumn("action", F.lit("down")).withColumn("seq", F.col("seq") * 2)

@@ -28,7 +28,7 @@ def text(v):
     return "nan" if isinstance(v, float) and math.isnan(v) else repr(v) if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in ("core_periphery",)])
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, DATA)
     columns = sorted(df.columns)
