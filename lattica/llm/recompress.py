@@ -6,8 +6,11 @@ between two symbols stays depends on these two alone, and a new name depends on
 get equal symbols everywhere in the corpus, but for one symbol at either end in each round, without any coordination.
 
 Each window of 35 words takes as its anchor the first symbol of the highest round that lies in it with all that decides
-it. Equal windows have equal anchors. One exchange by anchor name reveals which anchors occur twice; windows on those are
-verified by 48 bits of a hash of all their words, besides the anchor's name. Windows on the other anchors are not looked at again.
+it. Equal windows have equal anchors. Blocks of whole rows send the distinct names of their anchors to slices of the name
+space, which answer with those that other blocks have too; only windows on these shared symbols are candidates. A block
+sends each distinct candidate once, as 64 bits over the anchor's name and all its words, to a slice that those bits choose,
+so the windows of a common anchor spread over all slices. Equal windows within a block are found there. Blocks are written
+once, as compressed rows, and dealt out once, to meet the answers of both exchanges.
 """
 
 from __future__ import annotations
@@ -23,12 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.tables import settled, slices_for, small_batches
-from lattica.llm.words import _power, blocks, chunks, mix, pack, unpack, windows, words
-from lattica.llm.workers import tidy, tidy_group
+from lattica.llm.words import Words, _power, blocks, mix, pack, unpack, windows, words
+from lattica.llm.workers import tidy, tidy_group, tidy_pair
 
 WINDOW, ROUNDS = 35, 8
-#: Text bytes of one block of the exchange, and text bytes behind one slice of the anchor space.
+#: Text bytes of one block of the exchange, and text bytes behind one slice of the name space and of the window space.
 BLOCK, SLICE = 6 << 20, 4 << 20
+#: Bytes of an anchor's name that are sent and compared besides its slice (more only makes fewer vain candidates), and the
+#: level at which a block's rows are compressed.
+NAME, LEVEL = 5, 9
+#: Kinds of the exchanges' rows: a block's rows, an answer to a block, a block's question to a slice.
+ROWS, ANSWER, ASKED = 0, 1, 2
 
 
 def anchors(hashes: np.ndarray, first: np.ndarray, size: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,179 +69,176 @@ def anchors(hashes: np.ndarray, first: np.ndarray, size: int = WINDOW, rounds: i
     return at, name, place
 
 
-_EXCHANGED = "slice long, block binary, kind int, payload binary"
+_SENT = "slice long, block binary, kind int, payload binary"
+_SENT_ARROW = pa.schema([("slice", pa.int64()), ("block", pa.binary()), ("kind", pa.int32()), ("payload", pa.binary())])
+_ANSWERED = "block binary, payload binary"
 
 
-def _emit(part: pa.RecordBatch, slices: int) -> pa.RecordBatch:
-    """One block: a header row with what is known of it alone, and rows of anchors and window hashes by slice."""
-    w = words(part.column("text"))
-    at, name, place = anchors(w.hashes, w.first)
-    h = windows(w.hashes, WINDOW)[at] if len(at) else np.zeros(0, np.uint64)
-    order = np.argsort(h, kind="stable")
-    same = np.zeros(len(h) + 1, bool)
-    same[1:-1] = h[order][1:] == h[order][:-1]
-    known = np.zeros(len(h), bool)
-    known[order] = same[:-1] | same[1:]  # equal windows in this block: one of them goes on
-    sent = np.ones(len(h), bool)
-    sent[order] = ~same[:-1]
+def _rows(rows: list[tuple[int, bytes, int, bytes]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, _SENT_ARROW.types, strict=True)], schema=_SENT_ARROW)
+
+
+def _packed(part: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    header = pa.record_batch([part.column("key"), pa.array(w.counts)], ["key", "n"])
-    with pa.ipc.new_stream(sink, header.schema) as out:
-        out.write_batch(header)
-    raw = sink.getvalue().to_pybytes()
-    block = hashlib.blake2b(raw, digest_size=16).digest()
-    rows = [(int.from_bytes(block[:4], "little") % slices, block, 0, raw), (int.from_bytes(block[4:8], "little") % slices, block, 1, at[known].astype("<u4").tobytes())]
-    at, name, place, h = at[sent], name[sent], place[sent], h[sent]
-    slice_ = ((name >> np.uint64(40)) % np.uint64(slices)).astype(np.int64)
+    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as out:
+        out.write_batch(part)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(raw: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(raw).read_next_batch()
+
+
+def _by_slice(slice_: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """(slice, columns' values there) for each slice."""
     order = np.argsort(slice_, kind="stable")
-    at, name, place, h, slice_ = at[order], name[order], place[order], h[order], slice_[order]
-    if len(at):
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = (slice_[1:] != slice_[:-1]) | (place[1:] != place[:-1]) | (name[1:] != name[:-1]) | (at[1:] != at[:-1] + 1)
-        begin = np.flatnonzero(fresh)
-        length = np.diff(np.append(begin, len(at)))
-        edge = np.flatnonzero(np.concatenate(([True], slice_[1:] != slice_[:-1], [True])))
-        run_edge = np.searchsorted(begin, edge)
-        for a, b, x, y in zip(edge[:-1], edge[1:], run_edge[:-1], run_edge[1:], strict=True):
-            runs = np.array([y - x], "<i8").tobytes() + pack(name[begin[x:y]], 5) + at[begin[x:y]].astype("<u4").tobytes() + length[x:y].astype("<u2").tobytes()
-            rows.append((int(slice_[a]), block, 2, runs + pack(h[a:b], 6)))
-    slice_, block, kind, payload = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(slice_, pa.int64()), pa.array(block, pa.binary()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())], ["slice", "block", "kind", "payload"])
-
-
-def _window_blocks(slices: int):
+    slice_, columns = slice_[order], [c[order] for c in columns]
+    edge = np.flatnonzero(np.concatenate(([True], slice_[1:] != slice_[:-1], [True]))) if len(slice_) else []
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        yield (int(slice_[a]), *(c[a:b] for c in columns))
+
+
+def _among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted table."""
+    at = np.minimum(np.searchsorted(table, x), max(0, len(table) - 1))
+    return table[at] == x if len(table) else np.zeros(len(x), bool)
+
+
+def _ask_names(slices: int):
+    """Of each block: its rows, and the distinct names of its anchors by slice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, "text", BLOCK):
-            yield _emit(part, slices)
+            raw = _packed(part)
+            block = hashlib.blake2b(raw, digest_size=16).digest()
+            w = words(part.column("text"))
+            name = np.unique(anchors(w.hashes, w.first)[1])
+            rows = [(int.from_bytes(block[:4], "little") % slices, block, ROWS, raw)]
+            for k, x in _by_slice(((name >> np.uint64(40)) % np.uint64(slices)).astype(np.int64), name):
+                rows.append((k, block, ASKED, pack(x, NAME)))
+            yield _rows(rows)
 
     return run
 
 
-def _repeated(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-    """Of one slice: the windows of each block that occur again elsewhere."""
-    out = part[part["kind"] < 2][["block", "kind", "payload"]]
-    data = part[part["kind"] == 2]
-    parsed = []
-    for p in data["payload"]:
-        k = int(np.frombuffer(p[:8], "<i8")[0])
-        length = np.frombuffer(p[8 + 9 * k : 8 + 11 * k], "<u2").astype(np.int64)
-        parsed.append((unpack(p[8 : 8 + 5 * k], 5), np.frombuffer(p[8 + 5 * k : 8 + 9 * k], "<u4").astype(np.int64), length, unpack(p[8 + 11 * k :], 6)))
-    if not parsed:
-        return out
-    names, counts = np.unique(np.concatenate([x[0] for x in parsed]), return_counts=True)
-    names = names[counts > 1]  # shared symbols
-    found = []
-    for name, start, length, h in parsed:
-        where = np.minimum(np.searchsorted(names, name), max(0, len(names) - 1))
-        shared = names[where] == name if len(names) else np.zeros(len(name), bool)
-        wide = np.repeat(shared, length)
-        first = np.cumsum(length) - length
-        spot = np.repeat(start - first, length)[wide] + np.flatnonzero(wide)
-        found.append((spot, mix(np.repeat(name, length)[wide], 77) + h[wide]))
-    every = np.sort(np.concatenate([x[1] for x in found]))
+def _answers(blocks_: list[bytes], values: list[np.ndarray], replies: list[np.ndarray]) -> pd.DataFrame:
+    """For each question of a slice with values that come twice in the slice, these values' replies."""
+    every = np.sort(np.concatenate(values)) if values else np.zeros(0, np.uint64)
     twice = np.unique(every[1:][every[1:] == every[:-1]])
-    replies = []
-    for block, (spot, full) in zip(data["block"], found, strict=True):
-        at = np.minimum(np.searchsorted(twice, full), max(0, len(twice) - 1))
-        hit = twice[at] == full if len(twice) else np.zeros(len(full), bool)
-        if hit.any():
-            replies.append((block, 1, spot[hit].astype("<u4").tobytes()))
-    return pd.concat([out, pd.DataFrame(replies, columns=["block", "kind", "payload"])])
-
-
-def _spans(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-    """Of one block: for each row with a repeat, the spans of its words that repeated windows cover."""
-    head = pa.ipc.open_stream(part[part["kind"] == 0]["payload"].iloc[0]).read_all()
-    n = head.column("n").to_numpy()
-    first = np.concatenate(([0], np.cumsum(n)))
-    step = np.zeros(first[-1] + WINDOW + 1, np.int32)
-    at = np.unique(np.concatenate([np.frombuffer(p, "<u4") for p in part[part["kind"] == 1]["payload"]] or [np.zeros(0, "<u4")])).astype(np.int64)
-    step[at] += 1
-    step[at + WINDOW] -= 1
-    covered = np.cumsum(step)[: first[-1]] > 0
-    row = np.repeat(np.arange(len(n)), n)
-    edge = np.concatenate(([False], covered, [False]))
-    turn = np.zeros(len(covered) + 1, bool)
-    if len(covered):
-        turn[1:-1] = row[1:] != row[:-1]
-    begin = np.flatnonzero(edge[1:] & (~edge[:-1] | turn))
-    end = np.flatnonzero(edge[:-1] & (~edge[1:] | turn))
-    keys = head.column("key").to_pylist()
-    out: dict[int, list] = {}
-    for r, a, b in zip(row[begin], begin - first[row[begin]], end - first[row[begin]], strict=True):
-        out.setdefault(int(r), []).extend((a, b))
-    return pd.DataFrame([(keys[r], np.array(x, "<i8").tobytes()) for r, x in out.items()], columns=["key", "spans"])
+    hits = [_among(x, twice) for x in values]
+    found = [(block, y[hit].tobytes()) for block, y, hit in zip(blocks_, replies, hits, strict=True) if hit.any()]
+    return pd.DataFrame(found, columns=["block", "payload"])
+
+
+def _shared_names(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    """Of one slice: for each block, those of its names that another block has too."""
+    values = [unpack(p, NAME) for p in part["payload"]]
+    return _answers(list(part["block"]), values, values)
+
+
+def _ask_windows(slices: int):
+    """Of one block and its shared names: the windows that repeat within it, and its distinct windows on shared names."""
+
+    def run(key: tuple, own: pa.Table, answers: pa.Table) -> pa.Table:
+        shared = np.unique(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(p, "<u8") for p in answers.column("payload").to_pylist())]))
+        w = words(_unpacked(own.column("payload")[0].as_buffer()).column("text"))
+        at, name, _ = anchors(w.hashes, w.first)
+        h = windows(w.hashes, WINDOW)[at] if len(at) else np.zeros(0, np.uint64)
+        order = np.argsort(h, kind="stable")
+        same = np.zeros(len(h) + 1, bool)
+        same[1:-1] = h[order][1:] == h[order][:-1]
+        known = np.full(len(h), own.num_rows > 1)  # all windows of blocks that are equal
+        known[order] |= same[:-1] | same[1:]
+        sent = np.empty(len(h), bool)
+        sent[order] = ~same[:-1]
+        sent &= _among(name & np.uint64((1 << 8 * NAME) - 1), shared)
+        block = key[0].as_py()
+        rows = [(int.from_bytes(block[:4], "little") % slices, block, ANSWER, at[known].astype("<u4").tobytes())] if known.any() else []
+        full = mix(name[sent], 77) + h[sent]
+        for k, x, y in _by_slice(((full >> np.uint64(32)) % np.uint64(slices)).astype(np.int64), full, at[sent]):
+            places = y.astype("<u4").view(np.uint8).reshape(-1, 4).T  # in order, so that high bytes are alike
+            rows.append((k, block, ASKED, x.astype("<u8").tobytes() + places.tobytes()))
+        return pa.Table.from_batches([_rows(rows)])
 
+    return run
 
-def _kept(mode: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text", BLOCK):
-                w = words(part.column("text"))
-                keep = np.ones(len(w.hashes), bool)
-                for r, x in enumerate(part.column("spans").to_pylist()):
-                    if x:
-                        for a, b in np.frombuffer(x, "<i8").reshape(-1, 2) + w.first[r]:
-                            keep[a:b] = False
-                row, raw = w.rows, w.raw
-                off = np.zeros(part.num_rows + 1, np.int64)
-                size = pc.fill_null(pc.binary_length(part.column("text")), 0).to_numpy(zero_copy_only=False)
-                np.cumsum(size, out=off[1:])
-                byte = np.zeros(len(raw) + 1, np.int8)
-                if mode == "space":
-                    k = np.flatnonzero(keep)
-                    last = np.ones(len(k), bool)
-                    last[:-1] = row[k][1:] != row[k][:-1]
-                    raw = np.append(raw, np.uint8(32))
-                    gap = w.ends[k[~last]]
-                    raw[gap] = 32
-                    byte[w.starts[k]] += 1
-                    byte[w.ends[k] + ~last] -= 1
-                    mask = np.cumsum(byte, dtype=np.int8)[:-1] > 0
-                else:  # a removed word goes with the white space after it
-                    k = np.flatnonzero(~keep)
-                    after = off[1:][row[k]]
-                    inner = k + 1 < w.first[1:][row[k]]
-                    after[inner] = w.starts[k[inner] + 1]
-                    np.add.at(byte, w.starts[k], 1)
-                    np.add.at(byte, after, -1)
-                    mask = np.cumsum(byte, dtype=np.int8)[:-1] == 0
-                data = raw[: len(mask)][mask]
-                total = np.concatenate(([0], np.cumsum(mask)))[off]
-                text = pa.Array.from_buffers(pa.large_string(), part.num_rows, [None, pa.py_buffer(total.astype("<i8").tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.string())
-                if part.column("text").null_count:
-                    text = pc.if_else(part.column("text").is_null(), pa.scalar(None, pa.string()), text)
-                removed = np.bincount(row[~keep], minlength=part.num_rows).astype(np.int64)
-                rest = [part.column(c) for c in part.schema.names if c not in ("text", "spans", "key")]
-                names = [c for c in part.schema.names if c not in ("text", "spans", "key")]
-                yield pa.RecordBatch.from_arrays([*rest, text, pa.array(w.counts.astype(np.int64)), pa.array(removed)], [*names, "text", "n_words", "n_removed"])
 
-    return run
+def _repeated(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    """Of one slice: for each block, the places of those of its windows that another block has too, and what it knows."""
+    asked = part[part["kind"] == ASKED]
+    values = [np.frombuffer(p[: len(p) // 12 * 8], "<u8") for p in asked["payload"]]
+    places = [np.ascontiguousarray(np.frombuffer(p[len(p) // 12 * 8 :], np.uint8).reshape(4, -1).T).view("<u4")[:, 0] for p in asked["payload"]]
+    return pd.concat([part[part["kind"] == ANSWER][["block", "payload"]], _answers(list(asked["block"]), values, places)])
+
+
+def _cut(part: pa.RecordBatch, w: Words, keep: np.ndarray, mode: str) -> pa.RecordBatch:
+    """The rows with the kept words as text, and n_words and n_removed as last columns."""
+    row, raw = w.rows, w.raw
+    off = np.zeros(part.num_rows + 1, np.int64)
+    np.cumsum(pc.fill_null(pc.binary_length(part.column("text")), 0).to_numpy(zero_copy_only=False), out=off[1:])
+    byte = np.zeros(len(raw) + 1, np.int8)
+    if mode == "space":
+        k = np.flatnonzero(keep)
+        last = np.ones(len(k), bool)
+        last[:-1] = row[k][1:] != row[k][:-1]
+        raw = np.append(raw, np.uint8(32))
+        raw[w.ends[k[~last]]] = 32
+        byte[w.starts[k]] += 1
+        byte[w.ends[k] + ~last] -= 1
+        mask = np.cumsum(byte, dtype=np.int8)[:-1] > 0
+    else:  # a removed word goes with the white space after it
+        k = np.flatnonzero(~keep)
+        after = off[1:][row[k]]
+        inner = k + 1 < w.first[1:][row[k]]
+        after[inner] = w.starts[k[inner] + 1]
+        np.add.at(byte, w.starts[k], 1)
+        np.add.at(byte, after, -1)
+        mask = np.cumsum(byte, dtype=np.int8)[:-1] == 0
+    data = raw[: len(mask)][mask]
+    total = np.concatenate(([0], np.cumsum(mask)))[off]
+    text = pa.Array.from_buffers(pa.large_string(), part.num_rows, [None, pa.py_buffer(total.astype("<i8").tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.string())
+    if part.column("text").null_count:
+        text = pc.if_else(part.column("text").is_null(), pa.scalar(None, pa.string()), text)
+    removed = np.bincount(row[~keep], minlength=part.num_rows).astype(np.int64)
+    names = part.schema.names
+    columns = [text if c == "text" else part.column(i) for i, c in enumerate(names)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(w.counts.astype(np.int64)), pa.array(removed)], [*names, "n_words", "n_removed"])
 
 
-def repeated_spans(keyed: DataFrame, slices: int | None = None) -> DataFrame:
-    """(key, spans) for those rows of keyed(key binary, text) with words in a repeated window: spans are int64 pairs."""
-    slices = slices or slices_for(keyed, "text", SLICE)
-    blocks = keyed.mapInArrow(tidy(_window_blocks(slices)), _EXCHANGED)
-    blocks = blocks.groupBy("slice").applyInPandas(tidy_group(_repeated), "block binary, kind int, payload binary")
-    return blocks.groupBy("block").applyInPandas(tidy_group(_spans), "key binary, spans binary")
+def _kept(mode: str):
+    """Of one block: its rows without the words that its repeated windows cover."""
+
+    def run(key: tuple, own: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = _unpacked(own.column("payload")[0].as_buffer())
+        w = words(rows.column("text"))
+        step = np.zeros(len(w.hashes) + WINDOW + 1, np.int32)
+        at = np.unique(np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(p, "<u4") for p in answers.column("payload").to_pylist())])).astype(np.int64)
+        step[at] += 1
+        step[at + WINDOW] -= 1
+        done = _cut(rows, w, np.cumsum(step)[: len(w.hashes)] == 0, mode)
+        return pa.Table.from_batches([done] * own.num_rows)
+
+    return run
 
 
-def remove_repeats(docs: DataFrame, mode: str = "space") -> DataFrame:
-    """docs(doc_id, text, ...) with each word removed that a repeated 35-word window covers.
+def remove_repeats(docs: DataFrame, mode: str = "space", slices: int | None = None) -> DataFrame:
+    """docs(text, ...) with each word removed that a repeated 35-word window covers.
 
-    A window counts as repeated if its words also start anywhere else in docs, the same text included, overlaps too.
+    A window counts as repeated if its words also start anywhere else in docs, the same text included, overlaps too;
+    windows are equal if 64 bits of a hash over their words and their common symbol are.
     text becomes the kept words joined by one space (mode "space"), or the text with each removed word and the white
     space after it cut out (mode "cut", which leaves texts without repeats as they are). Adds n_words and n_removed,
-    replacing columns of these names; other columns are kept. A null text stays null, with no words. Equal rows get
-    equal results, and are each other's repeats. Row order and ids play no part.
+    replacing columns of these names; other columns are kept, whatever their names. A null text stays null, with no
+    words; an empty one stays empty. A text longer than a block is a block alone. Equal rows are each other's repeats, and
+    all stay, with equal results. Without rows there is no result. Row order and ids play no part.
     """
-    docs = small_batches(docs).drop("n_words", "n_removed", "key", "spans").withColumn("text", F.col("text").cast("string"))
-    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.lit(":"), F.coalesce("text", F.lit("")))))
-    keyed = docs.withColumn("key", key)
-    spans = settled(repeated_spans(keyed.select("key", "text")), "spans")
-    spans = spans.groupBy("key").agg(F.max("spans").alias("spans"))
-    joined = keyed.join(spans, "key", "left")
-    names = [c for c in docs.columns if c != "text"]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "text string, n_words long, n_removed long"])
-    return joined.select(*names, "text", "key", "spans").mapInArrow(tidy(_kept(mode)), schema).select(*docs.columns, "n_words", "n_removed")
+    docs = small_batches(docs).drop("n_words", "n_removed").withColumn("text", F.col("text").cast("string"))
+    slices = slices or slices_for(docs, "text", SLICE)
+    asked = settled(docs.mapInArrow(tidy(_ask_names(slices)), _SENT), "blocks")
+    rows = asked.where(F.col("kind") == ROWS).select("block", "payload").groupBy("block")
+    shared = asked.where(F.col("kind") == ASKED).groupBy("slice").applyInPandas(tidy_group(_shared_names), _ANSWERED)
+    candidates = rows.cogroup(shared.groupBy("block")).applyInArrow(tidy_pair(_ask_windows(slices)), _SENT)
+    found = candidates.groupBy("slice").applyInPandas(tidy_group(_repeated), _ANSWERED)
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns), "n_words long", "n_removed long"])
+    return rows.cogroup(found.groupBy("block")).applyInArrow(tidy_pair(_kept(mode)), schema)

@@ -45,3 +45,15 @@ def tidy_group(run: Callable) -> Callable:
             release()
 
     return wrapped
+
+
+def tidy_pair(run: Callable) -> Callable:
+    """A function of a key and the groups of two tables that releases memory after each key."""
+
+    def wrapped(key, left, right):
+        try:
+            return run(key, left, right)
+        finally:
+            release()
+
+    return wrapped
