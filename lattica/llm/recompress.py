@@ -31,10 +31,12 @@ from lattica.llm.workers import tidy, tidy_group, tidy_pair
 
 WINDOW, ROUNDS = 35, 8
 #: Text bytes of one block of the exchange, and text bytes behind one slice of the name space and of the window space.
-BLOCK, SLICE = 6 << 20, 4 << 20
+BLOCK, SLICE = 3 << 20, 8 << 20
 #: Bytes of an anchor's name that are sent and compared besides its slice (more only makes fewer vain candidates), and the
 #: level at which a block's rows are compressed.
 NAME, LEVEL = 5, 9
+#: Bytes of a block's rows in one row of the exchange: larger values would each take several regions of the JVM's heap.
+PART = 256 << 10
 #: Kinds of the exchanges' rows: a block's rows, an answer to a block, a block's question to a slice.
 ROWS, ANSWER, ASKED = 0, 1, 2
 
@@ -86,8 +88,15 @@ def _packed(part: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unpacked(raw: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(raw).read_next_batch()
+def _parts(raw: bytes) -> list[bytes]:
+    return [i.to_bytes(4, "little") + raw[a : a + PART] for i, a in enumerate(range(0, len(raw), PART))]
+
+
+def _unpacked(parts: list[bytes]) -> tuple[pa.RecordBatch, int]:
+    """The rows of a block from its parts in any order, and how many equal blocks the parts are from."""
+    numbers = [int.from_bytes(p[:4], "little") for p in parts]
+    by = dict(zip(numbers, parts, strict=True))
+    return pa.ipc.open_stream(b"".join(by[i][4:] for i in range(len(by)))).read_next_batch(), numbers.count(0)
 
 
 def _by_slice(slice_: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
@@ -114,7 +123,7 @@ def _ask_names(slices: int):
             block = hashlib.blake2b(raw, digest_size=16).digest()
             w = words(part.column("text"))
             name = np.unique(anchors(w.hashes, w.first)[1])
-            rows = [(int.from_bytes(block[:4], "little") % slices, block, ROWS, raw)]
+            rows = [(0, block, ROWS, x) for x in _parts(raw)]
             for k, x in _by_slice(((name >> np.uint64(40)) % np.uint64(slices)).astype(np.int64), name):
                 rows.append((k, block, ASKED, pack(x, NAME)))
             yield _rows(rows)
@@ -142,13 +151,14 @@ def _ask_windows(slices: int):
 
     def run(key: tuple, own: pa.Table, answers: pa.Table) -> pa.Table:
         shared = np.unique(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(p, "<u8") for p in answers.column("payload").to_pylist())]))
-        w = words(_unpacked(own.column("payload")[0].as_buffer()).column("text"))
+        part, copies = _unpacked(own.column("payload").to_pylist())
+        w = words(part.column("text"))
         at, name, _ = anchors(w.hashes, w.first)
         h = windows(w.hashes, WINDOW)[at] if len(at) else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         same = np.zeros(len(h) + 1, bool)
         same[1:-1] = h[order][1:] == h[order][:-1]
-        known = np.full(len(h), own.num_rows > 1)  # all windows of blocks that are equal
+        known = np.full(len(h), copies > 1)  # all windows of blocks that are equal
         known[order] |= same[:-1] | same[1:]
         sent = np.empty(len(h), bool)
         sent[order] = ~same[:-1]
@@ -210,14 +220,14 @@ def _kept(mode: str):
     """Of one block: its rows without the words that its repeated windows cover."""
 
     def run(key: tuple, own: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = _unpacked(own.column("payload")[0].as_buffer())
+        rows, copies = _unpacked(own.column("payload").to_pylist())
         w = words(rows.column("text"))
         step = np.zeros(len(w.hashes) + WINDOW + 1, np.int32)
         at = np.unique(np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(p, "<u4") for p in answers.column("payload").to_pylist())])).astype(np.int64)
         step[at] += 1
         step[at + WINDOW] -= 1
         done = _cut(rows, w, np.cumsum(step)[: len(w.hashes)] == 0, mode)
-        return pa.Table.from_batches([done] * own.num_rows)
+        return pa.Table.from_batches([done] * copies)
 
     return run
 

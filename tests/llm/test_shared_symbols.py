@@ -43,4 +43,12 @@ def test_only_shared_symbols_are_candidates():
     part = pd.DataFrame([(0, bytes([k]), recompress.ASKED, pack(x, recompress.NAME)) for k, x in enumerate(names)], columns=["slice", "block", "kind", "payload"])
     out = recompress._shared_names((0,), part)
     assert {b: np.frombuffer(p, "<u8").tolist() for b, p in out.itertuples(index=False)} == {b"\0": [3], b"\1": [3, 4], b"\2": [4]}
-    assert recompress._unpacked(recompress._packed(pa.record_batch([pa.array([1])], ["a"]))).to_pydict() == {"a": [1]}
+
+
+def test_parts_of_equal_blocks():
+    batch = pa.record_batch([pa.array([f"{i * 7919 % 1000003:x}" for i in range(200_000)])], ["a"])
+    parts = recompress._parts(recompress._packed(batch))
+    assert len(parts) > 2
+    for copies in (1, 2):
+        got, n = recompress._unpacked(list(reversed(parts)) * copies)
+        assert got.equals(batch) and n == copies
