@@ -58,16 +58,29 @@ def fitted_camera(nodes: DataFrame, width: float, height: float, dpr: float = 1.
     return some.select((scale * dpr).alias("scale"), ((F.col("min_x") + F.col("max_x")) / 2).alias("pan_x"), ((F.col("min_y") + F.col("max_y")) / 2).alias("pan_y"))
 
 
+def map_projection(nodes: DataFrame, width: float = 148.0, height: float = 92.0, pad: float = 6.0) -> DataFrame:
+    """One row of the world's bounds, the map's scale m and its offsets ox and oy: the map holds the world and keeps its
+    shape. No row without bounds."""
+    wide, high = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")
+    shape = world_bounds(nodes).withColumn("m", F.least((width - 2 * pad) / wide, (height - 2 * pad) / high))
+    return shape.withColumn("ox", (width - wide * F.col("m")) / 2).withColumn("oy", (height - high * F.col("m")) / 2)
+
+
 def minimap(nodes: DataFrame, width: float = 148.0, height: float = 92.0, pad: float = 6.0) -> DataFrame:
-    """(id, mx, my) of the finite points on a map that holds the world and keeps its shape; no rows without bounds."""
-    world = world_bounds(nodes)
-    m = F.least((width - 2 * pad) / (F.col("max_x") - F.col("min_x")), (height - 2 * pad) / (F.col("max_y") - F.col("min_y")))
-    shape = world.withColumn("m", m)
-    shape = shape.withColumn("ox", (width - (F.col("max_x") - F.col("min_x")) * F.col("m")) / 2).withColumn("oy", (height - (F.col("max_y") - F.col("min_y")) * F.col("m")) / 2)
-    good = nodes.where(finite(F.col("x")) & finite(F.col("y"))).crossJoin(F.broadcast(shape))  # one row
+    """(id, mx, my) of the finite points on the map; no rows without bounds."""
+    good = nodes.where(finite(F.col("x")) & finite(F.col("y"))).crossJoin(F.broadcast(map_projection(nodes, width, height, pad)))  # one row
     return good.select("id", ((F.col("x") - F.col("min_x")) * F.col("m") + F.col("ox")).alias("mx"), ((F.col("y") - F.col("min_y")) * F.col("m") + F.col("oy")).alias("my"))
 
 
+def map_jumps(nodes: DataFrame, presses: DataFrame, width: float = 148.0, height: float = 92.0, pad: float = 6.0) -> DataFrame:
+    """(pid, x, y): the world point under each press(pid, mx, my) on the map, or the nearest edge of the world for one in
+    the map's margin; no rows without bounds."""
+    shaped = presses.crossJoin(F.broadcast(map_projection(nodes, width, height, pad)))  # one row
+    world = lambda c: (F.col(f"m{c}") - F.col(f"o{c}")) / F.col("m") + F.col(f"min_{c}")
+    inside = lambda c: F.least(F.col(f"max_{c}"), F.greatest(F.col(f"min_{c}"), world(c))).alias(c)
+    return shaped.select("pid", inside("x"), inside("y"))
+
+
 def minimap_view(shape: dict, view: dict, width: float = 148.0, height: float = 92.0) -> tuple[float, float, float, float]:
     """x, y, width and height on the map of what a camera shows: at least 6 by 4, cut one pixel outside the map."""
     scale = view["scale"] / (view.get("dpr") or 1)

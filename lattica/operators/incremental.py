@@ -91,11 +91,12 @@ class Session:
         return "destroyed" if self._ended else "ready" if self.ingests else "idle"
 
     def ingest(self, nodes: DataFrame, edges: DataFrame, tier: str) -> None:
-        from lattica.operators.validate import PayloadError, gate
+        from lattica.operators.validate import PayloadError, gate, rescan
 
         if self._ended:
             raise PayloadError("lifecycle", "ingest after destroy")
         gate(nodes, tier)
+        rescan(nodes)
         gone_edges = removed_ids(self._sink.edges(), edges)
         gone_nodes = removed_ids(self._sink.nodes(), nodes)
         self._sink.remove(gone_nodes, gone_edges)

@@ -97,6 +97,16 @@ def gate(nodes: DataFrame, tier: str, version: int = 1) -> int:
     return n
 
 
+def rescan(nodes: DataFrame) -> None:
+    """Raises for a node with a sensitive label, or with a measure that isn't known, whatever the sender has checked."""
+    text = sensitive(F.col("label")) if "label" in nodes.columns else F.lit(None)
+    unknown = F.exists(F.map_keys("measures"), lambda k: ~k.isin(vocab.MEASURES)) if "measures" in nodes.columns else F.lit(False)
+    rule = F.when(text.isNotNull(), "pii").when(F.coalesce(unknown, F.lit(False)), "confidential")
+    first = nodes.select(F.col("ord" if "ord" in nodes.columns else "id").alias("at"), "id", rule.alias("rule")).where("rule is not null").orderBy("at").limit(1).collect()
+    if first:
+        raise PayloadError(first[0]["rule"], first[0]["id"])
+
+
 def layout_for(positions: bool, nodes: int, allow_simulation: bool = True, most: int = 2000) -> str:
     """"free" for a payload with positions; else "d3Force" where that is allowed and small enough."""
     if positions:

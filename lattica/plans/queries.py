@@ -384,10 +384,10 @@ _POINTS = "points AS (SELECT vec_id AS id, floor(embedding[1]::DOUBLE * 100000)
 
 
 def _taps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _points(spark, sf_dir).where("id % 10 = 0").select(F.col("id").alias("qid"), (F.col("x") + 7).alias("qx"), (F.col("y") - 3).alias("qy"), F.lit(40.0).alias("radius"))
+    return _points(spark, sf_dir).where("id % 20 = 0").select(F.col("id").alias("qid"), (F.col("x") + 7).alias("qx"), (F.col("y") - 3).alias("qy"), F.lit(40.0).alias("radius"))
 
 
-_TAPS = f"{_POINTS}, taps AS (SELECT id AS qid, x + 7 AS qx, y - 3 AS qy FROM points WHERE id % 10 = 0)"
+_TAPS = f"{_POINTS}, taps AS (SELECT id AS qid, x + 7 AS qx, y - 3 AS qy FROM points WHERE id % 20 = 0)"
 
 
 @query("spatial_hits", f"WITH {_TAPS} SELECT qid, id, round((x - qx) * (x - qx) + (y - qy) * (y - qy), 4) AS d2 FROM taps, points WHERE (x - qx) * (x - qx) + (y - qy) * (y - qy) <= 1600")
@@ -418,6 +418,11 @@ def segment_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.segments_near(_segments(spark, sf_dir), _taps(spark, sf_dir)).select("qid", "id", F.round("d2", 4).alias("d2"))
 
 
+@query("edge_hits", f"WITH {_HITS} SELECT qid, arg_min(id, (d2, id)) AS id FROM seen GROUP BY qid")
+def edge_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.edge_hits(_segments(spark, sf_dir), _taps(spark, sf_dir).drop("radius"), 0.3).select("qid", "id")
+
+
 @query("world_bounds", f"WITH {_POINTS} SELECT min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y, count(*)::BIGINT AS n FROM points")
 def world_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.world_bounds(_points(spark, sf_dir))
@@ -428,6 +433,17 @@ def minimap_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.minimap(_points(spark, sf_dir)).select("id", F.round("mx", 4).alias("mx"), F.round("my", 4).alias("my"))
 
 
+@query(
+    "map_jumps",
+    f"""WITH {_POINTS}, b AS (SELECT min(x) AS a, min(y) AS b, max(x) AS c, max(y) AS d FROM points), s AS (SELECT *, least(136 / (c - a), 80 / (d - b)) AS m FROM b)
+  SELECT id AS pid, round(least(c, greatest(a, (id % 149 - (148 - (c - a) * m) / 2) / m + a)), 6) AS x, round(least(d, greatest(b, (id % 93 - (92 - (d - b) * m) / 2) / m + b)), 6) AS y FROM points, s""",
+)
+def map_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _points(spark, sf_dir)
+    presses = p.select(F.col("id").alias("pid"), (F.col("id") % 149).cast("double").alias("mx"), (F.col("id") % 93).cast("double").alias("my"))
+    return aggregates.map_jumps(p, presses).select("pid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
 @query("fit_camera", f"WITH {_POINTS}, b AS (SELECT min(x) AS a, min(y) AS b, max(x) AS c, max(y) AS d FROM points) SELECT round(2 * least(1.5, greatest(0.02, least(688 / greatest(c - a, 1), 544 / greatest(d - b, 1)))), 6) AS scale, round((a + c) / 2, 6) AS pan_x, round((b + d) / 2, 6) AS pan_y FROM b")
 def fit_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.fitted_camera(_points(spark, sf_dir), 800.0, 656.0, 2.0).select(*_six("scale", "pan_x", "pan_y"))
@@ -447,6 +463,40 @@ def merged_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.merged_positions(p, live)
 
 
+@query("stored_positions", f"WITH {_POINTS} SELECT id::VARCHAR AS ref, CASE WHEN id % 3 = 0 THEN x + 1 ELSE x END AS x, y FROM points WHERE id % 2 = 0 OR id % 3 = 0")
+def stored_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _points(spark, sf_dir).select(F.col("id").cast("string").alias("ref"), "id", "x", "y")
+    return incremental.stored_positions(p.where("id % 2 = 0").select("ref", "x", "y"), p.where("id % 3 = 0").withColumn("x", F.col("x") + 1))
+
+
+@query("incident_edges", f"WITH {_TRADE} SELECT source AS ref, source || '-' || target AS edge_id FROM edges UNION SELECT target, source || '-' || target FROM edges")
+def incident_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.incident_edges(nation_graph(spark, sf_dir).edges.withColumn("id", F.concat_ws("-", "source", "target")))
+
+
+@query(
+    "edge_flips",
+    """SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS selected, CASE WHEN o_orderkey % 3 = 0 THEN '#e87044' ELSE o_orderpriority END AS color, CASE WHEN o_orderkey % 3 = 0 THEN 2.5::DOUBLE ELSE 1.25::DOUBLE END AS width
+  FROM orders WHERE (o_orderkey % 2 = 0) != (o_orderkey % 3 = 0)""",
+)
+def edge_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("color"), F.lit(1.25).alias("width"))
+    return incremental.edge_flips(base.where("id % 2 = 0"), base.where("id % 3 = 0"), base)
+
+
+@query(
+    "camera_moves",
+    f"""WITH {_POINTS}, z AS (SELECT *, least(8.0, greatest(0.05, 0.5 * exp(-0.0015 * x))) AS after FROM points)
+  SELECT id, round(after, 6) AS after, round((x - 400) / 0.5 + 10 - (x - 400) / after, 6) AS pan, round(10 - y / 0.5, 6) AS panned, round(x + (y - x) * (1 - (1 - least(1, id / 320)) ** 3), 6) AS eased, round(CASE WHEN x > 0 THEN abs(y) / x ELSE 1 END, 6) AS pinch FROM z""",
+)
+def camera_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y, scale, pan, pane = F.col("x"), F.col("y"), F.lit(0.5), F.lit(10.0), F.lit(800.0)
+    p = _points(spark, sf_dir).withColumn("after", scalars.zoom_around(scale, scalars.zoom_factor(x)))
+    moved = {"after": F.round("after", 6), "pan": F.round(scalars.pan_after_zoom(x, pan, pane, scale, F.col("after")), 6), "panned": F.round(scalars.pan_by(pan, y, scale), 6)}
+    moved |= {"eased": F.round(scalars.eased(x, y, F.col("id").cast("double")), 6), "pinch": F.round(scalars.pinch_factor(x, F.abs(y)), 6)}
+    return p.select("id", *(c.alias(k) for k, c in moved.items()))
+
+
 @query("selected_edges", f"WITH {_TRADE} SELECT DISTINCT source || '-' || target AS edge_id FROM edges WHERE source IN ('1', '2') OR target IN ('1', '2')")
 def selected_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = nation_graph(spark, sf_dir).edges.withColumn("id", F.concat_ws("-", "source", "target"))
