@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,8 +18,10 @@ from lattica.sources.shared import cut
 
 #: Kinds with fewer nodes are one community; share of nodes that must carry a community for it to be used.
 LEAST_FOR_LOUVAIN, COVERAGE = 12, 0.6
-#: Undirected edges of a kind up to which its communities are found in one task, in order of id; beyond, by joins.
+#: Undirected edges of a kind up to which its communities are found in one task; beyond, by joins, to the same result.
 MOST_PAIRS = 1_000_000
+#: Rounds taken back in a row, each with half as many moves, before one node moves alone; one in how much is too little a rise.
+STEPS, LEAST_RISE = 3, 10_000_000
 
 
 def coreness(graph: Graph) -> DataFrame:
@@ -54,59 +57,68 @@ def core_periphery(cores: DataFrame, theme: str = "dark") -> DataFrame:
 
 
 def louvain(pairs: list[tuple[str, str]]) -> dict[str, int]:
-    """Communities of a simple undirected graph by local moves and aggregation, visiting nodes in order of id; numbered
-    from 0 by each community's least node. The same input gives the same result."""
-    names = sorted({x for p in pairs for x in p})
-    if not names:
-        return {}
-    where = {x: i for i, x in enumerate(names)}
-    near: list[dict[int, float]] = [defaultdict(float) for _ in names]
+    """Communities of a simple undirected graph by Louvain's levels with moves in rounds, numbered from 0 by least node.
+
+    In a round each node looks for the community, its own or a neighbour's, that raises modularity most, the least name
+    among equals, its own first. Half of those that would move do, by hash; if that does not raise modularity, the round
+    is taken back and a quarter tries, and so on, and after STEPS such rounds the one node that gains most. A level ends
+    when no node gains, or when a round raises modularity by less than one in LEAST_RISE; its communities are the nodes
+    of the next. All arithmetic is in whole numbers. moved_communities follows the same rules in DataFrames."""
+    near: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
     for a, b in pairs:
-        near[where[a]][where[b]] += 1.0
-        near[where[b]][where[a]] += 1.0
-    member, loops = list(range(len(names))), [0.0] * len(names)
-    total = float(len(pairs)) * 2
+        near[a][b] += 1
+        near[b][a] += 1
+    m2, member, r = 2 * len(pairs), {x: x for x in near}, 0
+
+    def quality(of: dict[str, str], volume: dict[str, int]) -> int:
+        return m2 * sum(w for a, row in near.items() for b, w in row.items() if of[a] == of[b]) - sum(v * v for v in volume.values())
+
+    def volumes(of: dict[str, str]) -> dict[str, int]:
+        out: dict[str, int] = defaultdict(int)
+        for a, c in of.items():
+            out[c] += degree[a]
+        return out
+
     while True:
-        n = len(near)
-        of = list(range(n))
-        strength = [sum(near[i].values()) + loops[i] for i in range(n)]
-        weight = strength[:]
-        moved = any_move = True
-        any_move = False
-        while moved:
-            moved = False
-            for i in range(n):
-                links: dict[int, float] = defaultdict(float)
-                for j, w in near[i].items():
-                    links[of[j]] += w
-                own = of[i]
-                weight[own] -= strength[i]
-                best, gain = own, links[own] - weight[own] * strength[i] / total
-                for c in sorted(links):
-                    g = links[c] - weight[c] * strength[i] / total
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                weight[best] += strength[i]
-                if best != own:
-                    of[i], moved, any_move = best, True, True
-        if not any_move:
+        degree, of, step, changed = {a: sum(row.values()) for a, row in near.items()}, {a: a for a in near}, 0, False
+        volume = volumes(of)
+        before = quality(of, volume)
+        while True:
+            movers = {}
+            for a, row in near.items():
+                links: dict[str, int] = defaultdict(int, {of[a]: 0})
+                for b, w in row.items():
+                    if b != a:
+                        links[of[b]] += w
+                score = {c: w * m2 - (volume[c] - (degree[a] if c == of[a] else 0)) * degree[a] for c, w in links.items()}
+                best = min(score, key=lambda c: (-score[c], c != of[a], c))
+                if best != of[a]:
+                    movers[a] = (score[of[a]] - score[best], a, best)
+            if not movers:
+                break
+            go = movers if step <= STEPS else {min(movers.values())[1]}
+            trial = of | {a: movers[a][2] for a in go if step > STEPS or zlib.crc32(f"{a}:{r}".encode()) % 2 ** (step + 1) == 0}
+            r, volume = r + 1, volumes(trial)
+            after = quality(trial, volume)
+            if after <= before:
+                step, volume = step + 1, volumes(of)
+                continue
+            rise, of, before, step, changed = after - before, trial, after, 0, True
+            if rise * LEAST_RISE < m2 * m2:
+                break
+        if not changed:
             break
-        new = {c: k for k, c in enumerate(dict.fromkeys(of))}
-        grown: list[dict[int, float]] = [defaultdict(float) for _ in new]
-        inner = [0.0] * len(new)
-        for i in range(n):
-            a = new[of[i]]
-            inner[a] += loops[i]
-            for j, w in near[i].items():
-                b = new[of[j]]
-                if a == b:
-                    inner[a] += w
-                else:
-                    grown[a][b] += w
-        member = [new[of[m]] for m in member]
-        near, loops = grown, inner
-    order = {c: k for k, c in enumerate(dict.fromkeys(member))}
-    return {x: order[member[i]] for i, x in enumerate(names)}
+        name: dict[str, str] = {}
+        for a in sorted(of):
+            name.setdefault(of[a], a)
+        member = {x: name[of[a]] for x, a in member.items()}
+        grown: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+        for a, row in near.items():
+            for b, w in row.items():
+                grown[name[of[a]]][name[of[b]]] += w
+        near = grown
+    order = {c: k for k, c in enumerate(sorted(set(member.values())))}
+    return {x: order[member[x]] for x in sorted(member)}
 
 
 def partition(graph: Graph) -> DataFrame:
@@ -121,11 +133,10 @@ def partition(graph: Graph) -> DataFrame:
 
 
 def _by_louvain(pairs: DataFrame) -> DataFrame:
-    """(kind, id, community) of pairs(kind, a, b): Louvain in one task for each kind of at most MOST_PAIRS, and
-    distributed moves for larger ones."""
+    """(kind, id, community) of pairs(kind, a, b): kinds of at most MOST_PAIRS are each worked on in one task, larger ones
+    by joins, to the same result."""
     pairs = cut(pairs.select("kind", "a", "b"), "kinds")
-    sizes = pairs.groupBy("kind").count()
-    large = sizes.where(F.col("count") > MOST_PAIRS).select("kind")
+    large = pairs.groupBy("kind").count().where(F.col("count") > MOST_PAIRS).select("kind")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         found = louvain(sorted(zip(frame["a"], frame["b"], strict=True)))
@@ -137,27 +148,84 @@ def _by_louvain(pairs: DataFrame) -> DataFrame:
     return small.unionByName(moved_communities(pairs.join(large, "kind", "left_semi")))
 
 
-def moved_communities(pairs: DataFrame, rounds: int = 12) -> DataFrame:
-    """(kind, id, community) of pairs(kind, a, b) by synchronous local moves: in each round, half of the nodes, by hash,
-    go to the neighbouring community that raises modularity most. Communities are numbered by a hash of their seed node.
-    Links to a community are pre-aggregated, so hubs are never gathered."""
-    both = cut(pairs.select("kind", "a", "b").union(pairs.select("kind", F.col("b").alias("a"), F.col("a").alias("b"))), "both")
-    degree = cut(both.groupBy("kind", "a").count().withColumnRenamed("count", "d"), "degree")
-    total = both.groupBy("kind").count().withColumnRenamed("count", "m2")
-    label = cut(degree.select("kind", "a", "d", F.xxhash64("kind", "a").alias("c")), "label")
-    for r in range(rounds):
-        volume = label.groupBy("kind", "c").agg(F.sum("d").alias("volume"))
-        links = both.join(label.select("kind", F.col("a").alias("b"), "c"), ["kind", "b"]).groupBy("kind", "a", "c").count()
-        links = links.unionByName(label.select("kind", "a", "c", F.lit(0).cast("long").alias("count"))).groupBy("kind", "a", "c").agg(F.sum("count").alias("w"))
-        own = label.select("kind", "a", "d", F.col("c").alias("own"))
-        scored = links.join(volume, ["kind", "c"]).join(own, ["kind", "a"]).join(F.broadcast(total), "kind")  # a row for each large kind
-        score = F.col("w") - (F.col("volume") - F.when(F.col("c") == F.col("own"), F.col("d")).otherwise(0)) * F.col("d") / F.col("m2")
-        best = scored.groupBy("kind", "a", "d", "own").agg(F.max(F.struct(score.alias("s"), (F.col("c") == F.col("own")).alias("stay"), F.col("c").alias("c")))["c"].alias("best"))
-        turn = F.pmod(F.xxhash64("a", F.lit(r)), F.lit(2)) == 0
-        before, label = label, cut(best.select("kind", "a", "d", F.when(turn, F.col("best")).otherwise(F.col("own")).alias("c")), "label")
-        if r % 2 and label.join(before.withColumnRenamed("c", "old"), ["kind", "a"]).where("c != old").isEmpty():
+def _exact(c: str) -> Column:
+    return F.col(c).cast("decimal(18,0)")
+
+
+def _quality(near: DataFrame, label: DataFrame, m2: DataFrame) -> DataFrame:
+    """(kind, m2, quality): modularity of label(kind, a, d, c), times the square of m2."""
+    side = lambda x: label.select("kind", F.col("a").alias(x), F.col("c").alias(f"c_{x}"))
+    inner = near.join(side("a"), ["kind", "a"]).join(side("b"), ["kind", "b"]).where("c_a = c_b").groupBy("kind").agg(F.sum("w").alias("inner"))
+    volume = label.groupBy("kind", "c").agg(F.sum("d").alias("v")).groupBy("kind").agg(F.sum(_exact("v") * _exact("v")).alias("squares"))
+    value = _exact("m2") * F.coalesce(_exact("inner"), F.lit(0).cast("decimal(18,0)")) - F.col("squares")
+    return m2.join(volume, "kind").join(inner, "kind", "left").select("kind", "m2", value.cast("decimal(38,0)").alias("quality"))
+
+
+def _movers(near: DataFrame, label: DataFrame, state: DataFrame) -> DataFrame:
+    """(kind, a, loss, best): nodes that gain by going to the community best, loss being the gain's negative."""
+    live = label.join(state.where("not done").select("kind", "m2"), "kind")
+    links = near.where("a != b").join(label.select("kind", F.col("a").alias("b"), "c"), ["kind", "b"]).select("kind", "a", "c", "w")
+    links = links.unionByName(label.select("kind", "a", "c", F.lit(0).cast("long").alias("w"))).groupBy("kind", "a", "c").agg(F.sum("w").alias("w"))
+    volume = label.groupBy("kind", "c").agg(F.sum("d").alias("volume"))
+    scored = links.join(volume, ["kind", "c"]).join(live.withColumnRenamed("c", "own"), ["kind", "a"])
+    away = F.col("c") != F.col("own")
+    loss = (F.when(away, _exact("volume")).otherwise(_exact("volume") - _exact("d")) * _exact("d") - _exact("w") * _exact("m2")).cast("decimal(38,0)")
+    least = F.min(F.struct(loss.alias("loss"), away.alias("away"), F.col("c").alias("c")))
+    found = scored.groupBy("kind", "a").agg(least.alias("best"), F.min(F.when(~away, loss)).alias("stay"))
+    return found.where("best.away").select("kind", "a", (F.col("best.loss") - F.col("stay")).alias("loss"), F.col("best.c").alias("best"))
+
+
+def moved_communities(pairs: DataFrame) -> DataFrame:
+    """(kind, id, community) of pairs(kind, a, b), as louvain has them for each kind, by joins. Links to a community and
+    volumes are pre-aggregated, so that hubs are never gathered; each round is written to the shared folder."""
+    ends = lambda a, b: pairs.select("kind", F.col(a).alias("a"), F.col(b).alias("b"), F.lit(1).cast("long").alias("w"))
+    near = cut(ends("a", "b").unionByName(ends("b", "a")), "near")
+    m2 = cut(near.groupBy("kind").agg(F.sum("w").alias("m2")), "m2")
+    member = cut(near.select("kind", F.col("a").alias("id"), F.col("a").alias("node")).distinct(), "member")
+    rounds = m2.select("kind", F.lit(0).alias("r"))
+    while True:
+        label = cut(near.groupBy("kind", "a").agg(F.sum("w").alias("d")).withColumn("c", F.col("a")), "label")
+        start = _quality(near, label, m2).join(rounds, "kind")
+        state = cut(start.select("*", F.lit(0).alias("step"), F.lit(False).alias("changed"), F.lit(False).alias("done")), "state")
+        while not state.where("not done").isEmpty():
+            movers = cut(_movers(near, label, state), "movers")
+            one = movers.groupBy("kind").agg(F.min(F.struct("loss", "a"))["a"].alias("one"))
+            picked = movers.join(state.select("kind", "r", "step"), "kind").join(one, "kind")
+            turn = F.crc32(F.concat("a", F.lit(":"), F.col("r").cast("string")).cast("binary")) % F.pow(F.lit(2), F.col("step") + 1).cast("long") == 0
+            picked = picked.where(F.when(F.col("step") > STEPS, F.col("a") == F.col("one")).otherwise(turn)).select("kind", "a", "best")
+            trial = cut(label.join(picked, ["kind", "a"], "left").select("kind", "a", "d", "c", F.coalesce("best", "c").alias("to")), "trial")
+            after = _quality(near, trial.select("kind", "a", "d", F.col("to").alias("c")), m2).select("kind", F.col("quality").alias("after"))
+            rose, found = F.col("after") > F.col("quality"), F.col("one").isNotNull()
+            little = (F.col("after") - F.col("quality")).cast("decimal(30,0)") * LEAST_RISE < _exact("m2") * _exact("m2")
+            state = state.join(after, "kind").join(one, "kind", "left")
+            state = state.select("kind", "m2", F.greatest("after", "quality").alias("quality"), F.when(found, F.col("r") + 1).otherwise(F.col("r")).alias("r"), F.when(rose, 0).otherwise(F.col("step") + 1).alias("step"), (F.col("changed") | rose).alias("changed"), (F.col("done") | ~found | (rose & little)).alias("done"), rose.alias("rose"))
+            state = cut(state, "state")
+            label = trial.join(state.select("kind", "rose"), "kind").select("kind", "a", "d", F.when(F.col("rose"), F.col("to")).otherwise(F.col("c")).alias("c"))
+            state = state.drop("rose")
+        if state.where("changed").isEmpty():
             break
-    return label.select("kind", F.col("a").alias("id"), F.col("c").alias("community"))
+        name = label.groupBy("kind", "c").agg(F.min("a").alias("name"))
+        to = cut(label.join(name, ["kind", "c"]).select("kind", "a", "name"), "names")
+        side = lambda x, y: to.select("kind", F.col("a").alias(x), F.col("name").alias(y))
+        member = cut(member.join(side("node", "up"), ["kind", "node"]).select("kind", "id", F.col("up").alias("node")), "member")
+        near = near.join(side("a", "x"), ["kind", "a"]).join(side("b", "y"), ["kind", "b"])
+        near = cut(near.groupBy("kind", F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")), "near")
+        rounds = state.select("kind", "r")
+    return _numbered(member)
+
+
+def _numbered(member: DataFrame) -> DataFrame:
+    """(kind, id, community) of member(kind, id, node): each kind's nodes get numbers from 0 in their order, which is
+    counted within ranges first, and then by the number of nodes in the ranges before."""
+    names = member.select("kind", "node").distinct().repartitionByRange("kind", "node")
+    names = cut(names.withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = names.groupBy("kind", "part").count()
+    ahead = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("kind", "part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("ahead"))  # a row a range
+    inside = F.row_number().over(Window.partitionBy("kind", "part").orderBy("node"))
+    numbers = names.withColumn("k", inside).join(sizes, ["kind", "part"])
+    numbers = numbers.select("kind", "node", (F.col("ahead") + F.col("k") - 1).cast("long").alias("community"))
+    return member.join(numbers, ["kind", "node"]).select("kind", "id", "community")
 
 
 def partition_stats(found: DataFrame) -> DataFrame:

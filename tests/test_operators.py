@@ -1,4 +1,6 @@
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,14 +96,37 @@ def test_louvain(spark):
     assert communities.partition(graph(spark, ["solo"], [])).count() == 0
 
 
-def test_distributed_communities(spark, monkeypatch):
-    cliques = [(f"{k}{i}", f"{k}{j}") for k in "ab" for i in range(5) for j in range(i)] + [("a0", "b0")]
-    pairs = spark.createDataFrame([("k", min(p), max(p)) for p in cliques], "kind string, a string, b string")
-    found = {r["id"]: r["community"] for r in communities.moved_communities(pairs).collect()}
-    assert len({found[f"a{i}"] for i in range(5)}) == len({found[f"b{i}"] for i in range(5)}) == 1 and found["a1"] != found["b1"]
-    monkeypatch.setattr(communities, "MOST_PAIRS", 5)
-    nodes = spark.createDataFrame([(x, i) for i, x in enumerate(sorted(found))], "id string, ord long")
-    assert communities.partition(Graph(nodes, pairs.select(F.col("a").alias("source"), F.col("b").alias("target")))).count() == 10
+def test_communities_are_the_same_at_every_size(spark, monkeypatch):
+    r = random.Random(5)
+    cliques = {(f"{k}{i}", f"{k}{j}") for k in "ab" for i in range(4) for j in range(i)} | {("a0", "b0")}
+    blocks = {tuple(sorted((f"n{i}", f"n{j}"))) for i in range(11) for j in range(i) if r.random() < (0.8 if i % 3 == j % 3 else 0.1)}
+    kinds = {"cliques": cliques, "blocks": blocks, "star": {("hub", f"leaf{i}") for i in range(5)}}
+    rows = [(k, min(p), max(p)) for k, pairs in kinds.items() for p in sorted(pairs)]
+    monkeypatch.setattr(communities, "MOST_PAIRS", 4)
+    found = communities._by_louvain(spark.createDataFrame(rows, "kind string, a string, b string")).collect()
+    for kind, pairs in kinds.items():
+        assert {x["id"]: x["community"] for x in found if x["kind"] == kind} == communities.louvain(sorted(pairs))
+    parts = communities.louvain(sorted(cliques))
+    assert {parts[f"a{i}"] for i in range(4)} == {0} and {parts[f"b{i}"] for i in range(4)} == {1}
+
+
+def test_no_single_move_of_a_community_gains(spark):
+    r = random.Random(6)
+    for n in (6, 15, 40):
+        pairs = sorted({(f"n{j:02}", f"n{i:02}") for i in range(n) for j in range(i) if r.random() < 0.2})
+        parts = communities.louvain(pairs)
+
+        def modularity(of, pairs=pairs):
+            degree = Counter(x for p in pairs for x in p)
+            volume = Counter()
+            for x, c in of.items():
+                volume[c] += degree[x]
+            return sum(of[a] == of[b] for a, b in pairs) / len(pairs) - sum(v * v for v in volume.values()) / (2 * len(pairs)) ** 2
+
+        base = modularity(parts)
+        numbers = sorted(set(parts.values()))
+        assert numbers == list(range(len(numbers)))
+        assert all(modularity({x: b if c == a else c for x, c in parts.items()}) <= base + 1e-9 for a in numbers for b in numbers)
 
 
 def test_kind_communities(spark):
